@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondage.functions.ids import clean_name, hex_key, utc_day
-from sondage.llm import leakage, lookalike, membership, packing
+from sondage.llm import leakage, lookalike, membership, packing, stuffing
 from sondage.sources.tables import table
 
 LABELS = ("model", "lang", "topic", "area", "task_class", "cohort")
@@ -72,5 +72,13 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return p7_leaks(spark, folder).select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p4_distinct_principals, p5_found, p5_consistent_texts, p6_containers, p7_leaks, p7_found)}
+def p8_pages(spark: SparkSession, folder: str) -> DataFrame:
+    return stuffing.measure(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return stuffing.stuffed(table(spark, folder, "documents")).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p4_distinct_principals, p5_found, p5_consistent_texts, p6_containers, p7_leaks, p7_found, p8_pages, p8_found)}
 SQL = {"p4_distinct_principals": _sql_p4()}
