@@ -244,9 +244,10 @@ def child_table(df: DataFrame, keys: Sequence[str], path: Sequence[str]) -> Data
     narrow = df.select(*keys, path[0])
     empty = pa.RecordBatch.from_pylist([], schema=to_arrow_schema(narrow.schema))
     schema = from_arrow_schema(flatten_column(empty, path, keys).schema, prefer_timestamp_ntz=True)
-    types = {f.name: f.dataType for f in narrow.schema}
-    for f in schema.fields:  # Arrow has no word for some of Spark's types
-        f.nullable, f.dataType = True, types.get(f.name, f.dataType) if f.name in keys else f.dataType
+    for f, key in zip(schema.fields, keys):  # the keys come first; Arrow has no word for some of Spark's types
+        f.dataType = narrow.schema[key].dataType
+    for f in schema.fields:
+        f.nullable = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
