@@ -24,13 +24,32 @@ WIDE_MOST = 1_000
 WIDE_LEAST = 10_000
 
 
+#: Between the values of a group's key, for a null among them, and before either or itself within a value.
+_NEXT, _NULL, _ESCAPE = "\x01", "\x02", "\x03"
+
+
+def _coded(c: Column) -> Column:
+    """A value as text that holds neither of the two marks."""
+    out = c.cast("string")
+    for mark, code in ((_ESCAPE, "c"), (_NEXT, "a"), (_NULL, "b")):
+        out = F.replace(out, F.lit(mark), F.lit(_ESCAPE + code))
+    return out
+
+
+def _decoded(c: Column) -> Column:
+    out = F.nullif(c, F.lit(_NULL))
+    for mark, code in ((_NULL, "b"), (_NEXT, "a"), (_ESCAPE, "c")):
+        out = F.replace(out, F.lit(_ESCAPE + code), F.lit(mark))
+    return out
+
+
 def partial(df: DataFrame, identifier: Column, dims: dict[str, Column]) -> DataFrame:
-    """The partial result of a slice of data: distinct (identifier, cell), cell a struct of ``dims``.
+    """The partial result of a slice of data: distinct (identifier, cell), cell a struct of ``dims`` as text.
 
     Rows without an identifier count nowhere; null is an ordinary value of a dimension. Clashing names are no
     matter, since only ``identifier`` and ``dims`` are read. An empty slice gives an empty partial.
     """
-    cell = F.struct(*[c.alias(n) for n, c in dims.items()])
+    cell = F.struct(*[_coded(c).alias(n) for n, c in dims.items()])
     return df.select(identifier.alias("identifier"), cell.alias("cell")).filter("identifier IS NOT NULL").distinct()
 
 
@@ -65,23 +84,29 @@ def distinct_counts(totals: DataFrame, groupings: Sequence[Sequence[str]]) -> Da
     """Distinct identifiers of every group of every grouping: (grouping, <dims>, identifiers).
 
     ``totals`` as :func:`patterns` gives them. grouping names the dimensions that a row is grouped by, joined
-    by ``+``; the others are null.
+    by ``+``; the others are null. Groups are text within a pattern, so that its repeats are found by hashing.
     """
     fields = totals.schema["pattern"].dataType.elementType.fieldNames()
+    null, mark = F.lit(_NULL), F.lit(_NEXT)
 
-    def groups(by: Sequence[str]) -> Column:
-        def group(cell: Column) -> Column:
-            kinds = totals.schema["pattern"].dataType.elementType
-            return F.struct(
-                F.lit("+".join(by)).alias("grouping"), *[(cell[f] if f in by else F.lit(None).cast(kinds[f].dataType)).alias(f) for f in fields]
-            )
+    def keys(no: int, by: Sequence[str]) -> Column:
+        def key(cell: Column) -> Column:
+            return F.concat(F.lit(str(no)), *[x for f in by for x in (mark, F.coalesce(cell[f], null))])
 
-        return F.array_distinct(F.transform("pattern", group))
+        return F.array_distinct(F.transform("pattern", key))
 
-    touched = totals.select("identifiers", "wide", F.explode(F.flatten(F.array(*[groups(g) for g in groupings]))).alias("g"))
+    touched = totals.select("identifiers", "wide", F.explode(F.flatten(F.array(*[keys(i, g) for i, g in enumerate(groupings)]))).alias("g"))
     narrow = touched.filter("wide IS NULL").groupBy("g").agg(F.sum("identifiers").alias("n"))
     wide = touched.filter("wide IS NOT NULL").select("wide", "g").distinct().groupBy("g").agg(F.count("*").alias("n"))
-    return narrow.unionByName(wide).groupBy("g").agg(F.sum("n").alias("identifiers")).select("g.*", "identifiers")
+    counts = narrow.unionByName(wide).groupBy("g").agg(F.sum("n").alias("identifiers")).withColumn("g", F.split("g", _NEXT))
+    no = F.col("g")[0].cast("int")
+    names = F.array(*[F.lit("+".join(by)) for by in groupings])
+
+    def value(f: str) -> Column:
+        place = F.array(*[F.lit(by.index(f) + 1 if f in by else None).cast("int") for by in groupings])
+        return _decoded(F.get("g", F.get(place, no)))
+
+    return counts.select(F.get(names, no).alias("grouping"), *[value(f).alias(f) for f in fields], "identifiers")
 
 
 def count_any(totals: DataFrame, touches: Callable[[Column], Column]) -> DataFrame:

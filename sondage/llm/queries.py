@@ -23,7 +23,7 @@ def p4_patterns(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_distinct_principals(spark: SparkSession, folder: str) -> DataFrame:
     counts = membership.distinct_counts(p4_patterns(spark, folder), GROUPINGS)
-    return counts.select("grouping", F.date_format("day", "yyyy-MM-dd").alias("day"), "tenant", *LABELS, F.col("identifiers").alias("principals"))
+    return counts.select("grouping", "day", "tenant", *LABELS, F.col("identifiers").alias("principals"))
 
 
 _SQL_P4 = r"""
