@@ -38,3 +38,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sondage-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Lets Python workers on this machine import the package, wherever the driver was started.
+
+    On a cluster whose nodes lack the repository, pass the package with ``--py-files`` instead.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    return spark
