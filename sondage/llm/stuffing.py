@@ -11,7 +11,10 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -66,7 +69,31 @@ class Page(NamedTuple):
 
 
 def repeats(tokens: list[str], least: int = STRETCH) -> bytearray:
-    """For each token 1 if it stands in a stretch of ``least`` tokens or more that occurs again, by a suffix automaton."""
+    """For each token 1 if it stands in a stretch of ``least`` tokens or more that occurs again, by a suffix automaton.
+
+    A stretch of two or more is made of pairs that occur again, so the automaton is built on the tokens of such
+    pairs alone, with a mark that occurs once for each gap between them.
+    """
+    pairs = Counter(zip(tokens, tokens[1:]))
+    if least < 2:
+        return _stretches(tokens, least)
+    kept, places = [], []
+    for i, (pair, after) in enumerate(zip(zip([None, *tokens], tokens), [*tokens[1:], None])):
+        if pairs[pair] > 1 or pairs[pair[1], after] > 1:
+            if places and (places[-1] != i - 1 or pairs[pair] < 2):
+                kept.append(-i)
+                places.append(-1)
+            kept.append(pair[1])
+            places.append(i)
+    out = bytearray(len(tokens))
+    for i, again in zip(places, _stretches(kept, least)):
+        if again and i >= 0:
+            out[i] = 1
+    return out
+
+
+def _stretches(tokens: list, least: int) -> bytearray:
+    """:func:`repeats` by an automaton on all of ``tokens``."""
     n = len(tokens)
     nxt: list[dict[str, int]] = [{}]
     link, length, count = [-1], [0], [0]
@@ -158,6 +185,11 @@ def _is_clause(words: list[str], covered: float, ends: bool, rows: int, opens: b
     return (bound >= LOOSE and not (varied < VARIED and covered > ROUND)) or (opens and varied >= VARIED and covered <= REPEATED)
 
 
+def _shown(text: str) -> int:
+    """The number of characters other than white space."""
+    return sum(map(len, text.split()))
+
+
 def page(text: str | None) -> Page:
     """The measures of a page; all 0 for null or blank text."""
     if not text or not text.strip():
@@ -167,12 +199,15 @@ def page(text: str | None) -> Page:
     if "&" in text:
         text = html.unescape(text)
     text = _QUOTE.sub("", text)
-    found = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-    tokens = [text[a:b].casefold() for a, b in found]
+    found = [m.span() for m in _WORD.finditer(text)]
+    folded = text.casefold()
+    tokens = [folded[a:b] for a, b in found] if len(folded) == len(text) else [text[a:b].casefold() for a, b in found]
     again = repeats(tokens)
-    sizes = [b - a for a, b in found]
-    total = sum(not c.isspace() for c in text)
-    covered = sum(n for n, r in zip(sizes, again) if r)
+    starts = [a for a, _ in found]
+    # Sums up to each word: of its letters, and of those under repeats.
+    sizes = [0, *accumulate(b - a for a, b in found)]
+    unders = [0, *accumulate(b - a if r else 0 for (a, b), r in zip(found, again))]
+    total, covered = _shown(text), unders[-1]
     clause = stuffing = k = 0
     loose: list[tuple[int, int, int, int]] = []  # neighbouring segments without clauses: words from, to, characters, rows
 
@@ -181,8 +216,8 @@ def page(text: str | None) -> Page:
         if not loose:
             return 0
         own = [w for a, b, _, _ in loose for w in tokens[a:b]]
-        size = sum(sum(sizes[a:b]) for a, b, _, _ in loose)
-        under = sum(n for a, b, _, _ in loose for n, r in zip(sizes[a:b], again[a:b]) if r)
+        size = sum(sizes[b] - sizes[a] for a, b, _, _ in loose)
+        under = sum(unders[b] - unders[a] for a, b, _, _ in loose)
         chars, rows = sum(x[2] for x in loose), sum(x[3] for x in loose)
         loose.clear()
         if len(own) < PILE:
@@ -192,24 +227,22 @@ def page(text: str | None) -> Page:
 
     for a, b, ends in segments(text):
         piece = text[a:b]
-        first = k
-        while k < len(found) and found[k][0] < b:
-            k += 1
-        chars = len(piece) - sum(map(str.isspace, piece))
+        first, k = k, bisect_left(starts, b, k)
+        chars = _shown(piece)
         if first == k:
             continue
-        linked = "<a" in piece.lower() or "](" in piece
+        linked = "](" in piece or "<a" in piece or "<A" in piece
         bare = _ANCHOR.sub(" ", piece) if linked else piece
         rest = _LINK.sub(" ", bare) if "://" in bare or "www." in bare.lower() else bare
         own = [w.casefold() for w in _WORD.findall(rest)] if rest is not piece else tokens[first:k]
-        under = sum(n for n, r in zip(sizes[first:k], again[first:k]) if r) / max(1, sum(sizes[first:k]))
+        under = (unders[k] - unders[first]) / (sizes[k] - sizes[first])
         head = rest.lstrip(" \t\r\n\"'“«¿¡([*_-")[:2]
         if _is_clause(own, under, ends, len(_SEPARATOR.findall(rest)), head[:1].isupper() and not head[1:].isupper()):
             clause += chars
             stuffing += settle()
             continue
         if rest is not piece:
-            gone = chars - sum(not c.isspace() for c in rest)
+            gone = chars - _shown(rest)
             # What stands between links without a clause of its own is their caption.
             stuffing += chars if gone * 3 >= chars or len(own) < PILE else gone
             continue
