@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sondage.functions.stats import dbl, rating, ratio, sound, wilson
+from sondage.functions.stats import dbl, ratio, sound, wilson
 from sondage.sources.audit import with_key
 
 # Fixed values of the indicators: id -> (direction, green, amber, least n).
@@ -285,47 +285,47 @@ def compute(i: Inputs, *, whole_trail: DataFrame | None = None, rules: tuple[flo
     parts = [row_facts(decisions), joined_facts(ids).withColumnRenamed("metered", "metered_rows"), event_facts(events), asked, _two_level(b), trail]
     if i.by is None:
         parts.insert(0, i.audit.sparkSession.createDataFrame([("",)], "g string"))
-    wide = reduce(lambda x, y: x.join(y, "g", "full"), parts)
-    z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    c = F.col
-    n = z("n")
-    spent = F.unix_micros("last.t") - F.unix_micros("first.t")
-    rate = (c("last.used") - c("first.used")) / F.greatest(spent / 1e6, dbl(1.0))
-    runs_out = F.timestamp_micros((F.unix_micros("last.t") + (c("last.limit") - c("last.used")) / rate * 1e6).cast("bigint"))
-    exhaustion = F.when((rate > 0) & (c("last.limit") > c("last.used")), F.concat(F.lit("projected exhaustion "), F.date_format(runs_out, "yyyy-MM-dd'T'HH:mm:ssXXX")))
-    text = lambda cond, note: F.when(cond, F.lit(note)).otherwise("")
-    part = lambda hits, total, scale=1.0: (ratio(hits, total) * scale, total, *((x * scale) for x in wilson(hits, total)))
-    plain = lambda value, total, note=F.lit(""): (value, total, None, None, note)
-    written = z("written")
+    # Each part has one row a group and columns of its own: laid over each other in one small shuffle.
+    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    wide = rows.groupBy("g").agg(*[F.first(x, ignorenulls=True).alias(x) for x in rows.columns if x != "g"])
+    # One short row for each indicator first; intervals and ratings are then one expression for all of them.
+    z = lambda c: f"coalesce({c}, 0)"
+    rate = "(last.used - first.used) / greatest((unix_micros(last.t) - unix_micros(first.t)) / 1e6D, 1D)"
+    runs_out = f"timestamp_micros(cast(unix_micros(last.t) + (last.limit - last.used) / ({rate}) * 1e6D as bigint))"
+    exhaustion = f"CASE WHEN {z('points')} = 0 THEN 'no cumulative budget configured' WHEN {rate} > 0 AND last.limit > last.used THEN concat('projected exhaustion ', date_format({runs_out}, \"yyyy-MM-dd'T'HH:mm:ssXXX\")) END"
+    text = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+    part = lambda hits, n, scale=1.0: (z(hits), n, scale, "NULL", "''")
+    plain = lambda value, n, note="''": ("NULL", n, "NULL", value, note)
+    given = lambda x: plain("NULL" if x[0] is None else f"{x[0]!r}D", str(x[1]), text(x[2]))
+    n, written = z("n"), z("written")
+    over = lambda x, y: f"try_divide(cast({x} as double), cast({y} as double))"
     figures = {
-        "K-01": part(z("confirmed"), n, PER_10K), "K-02": part(z("escaped"), n, PER_10K), "K-03": part(z("near"), n), "K-04": part(z("upheld"), z("appeals")),
-        "K-05": plain(c("hours"), z("reviewed")), "K-06": plain(ratio(c("speech.passed"), c("speech.total")), F.coalesce("speech.total", F.lit(0))),
-        "K-07": plain(ratio(F.coalesce("kwh", dbl(0.0)), n) * 1000, n), "K-08": plain(ratio(F.coalesce("grams", dbl(0.0)), n), n),
-        "K-09": plain(ratio(c("last.used"), c("last.limit")), z("points"), F.when(z("points") == 0, "no cumulative budget configured").otherwise(F.coalesce(exhaustion, F.lit("")))),
-        "K-10": part(z("metered_rows"), n), "K-11": part(z("consented"), z("community")), "K-12": plain(dbl(rules[0]), F.lit(rules[1]), F.lit(rules[2])),
-        "K-13": part(z("honoured"), z("revoked")),
-        "K-14": plain(dbl(chain[0]), F.lit(chain[1]), F.lit(chain[2])) if chain else plain(dbl(None), written, F.lit("audit key not supplied")),
-        "K-15": plain(ratio(written, written + z("failures")), written), "K-16": part(z("on_time"), z("incidents")),
-        "K-17": plain(dbl(z("trips")), z("trips"), F.when(z("unconfirmed") > 0, F.concat(z("unconfirmed").cast("string"), F.lit(" suspension(s) over 1 hour without human confirmation"))).otherwise("")),
-        "K-18": part(z("evasions"), z("attempts")), "K-19": part(z("screened"), n), "K-20": part(z("infra"), n, PER_10K),
-        "K-21": part(F.least(z("overrides"), n), n), "K-22": part(z("displaced"), z("scored")), "K-23": part(z("scaffold"), z("learning")),
-        "K-24": part(F.coalesce(c("challenge.total") - c("challenge.passed"), F.lit(0)) + z("lost"), F.coalesce("challenge.total", F.lit(0)) + z("disputes")),
-        "K-25": plain(F.when(z("rated") >= 2, (c("high") + 0.001) / (c("low") + 0.001)), n, text(z("rated") < 2, "fewer than two languages with n >= k")),
-        "K-26": plain(c("variety"), F.when(c("variety").isNotNull(), z("answers")).otherwise(0)), "K-27": plain(c("returned"), z("flows")),
-        "K-28": plain(c("share"), z("capacities")),
-        "K-29": plain(F.when((z("groups") >= 2) & (c("best") > 0), ratio(c("worst"), c("best"))), z("groups")),
+        "K-01": part("confirmed", n, PER_10K), "K-02": part("escaped", n, PER_10K), "K-03": part("near", n), "K-04": part("upheld", z("appeals")), "K-05": plain("hours", z("reviewed")),
+        "K-06": plain(over("speech.passed", "speech.total"), z("speech.total")), "K-07": plain(over("coalesce(kwh, 0D) * 1000", n), n), "K-08": plain(over("coalesce(grams, 0D)", n), n),
+        "K-09": plain(over("last.used", "last.limit"), z("points"), exhaustion), "K-10": part("metered_rows", n), "K-11": part("consented", z("community")), "K-12": given(rules),
+        "K-13": part("honoured", z("revoked")), "K-14": given(chain) if chain else plain("NULL", written, "'audit key not supplied'"), "K-15": plain(over(written, f"{written} + {z('failures')}"), written),
+        "K-16": part("on_time", z("incidents")),
+        "K-17": plain(z("trips"), z("trips"), f"CASE WHEN {z('unconfirmed')} > 0 THEN concat(unconfirmed, ' suspension(s) over 1 hour without human confirmation') END"),
+        "K-18": part("evasions", z("attempts")), "K-19": part("screened", n), "K-20": part("infra", n, PER_10K), "K-21": part(f"least({z('overrides')}, {n})", n),
+        "K-22": part("displaced", z("scored")), "K-23": part("scaffold", z("learning")),
+        "K-24": part(f"coalesce(challenge.total - challenge.passed, 0) + {z('lost')}", f"{z('challenge.total')} + {z('disputes')}"),
+        "K-25": plain(f"CASE WHEN {z('rated')} >= 2 THEN (high + 0.001D) / (low + 0.001D) END", n, f"CASE WHEN {z('rated')} < 2 THEN 'fewer than two languages with n >= k' END"),
+        "K-26": plain("variety", f"CASE WHEN variety IS NULL THEN 0 ELSE {z('answers')} END"), "K-27": plain("returned", z("flows")), "K-28": plain("share", z("capacities")),
+        "K-29": plain(f"CASE WHEN {z('groups')} >= 2 AND best > 0 THEN worst / best END", z("groups")),
     }
-
-    def row(kpi: str) -> Column:
-        value, total, low, high, *note = figures[kpi]
-        direction, green, amber, least = DEFINITIONS[kpi]
-        total = total.cast("bigint")
-        known = value.isNotNull() & (total > 0)
-        bound = lambda x: dbl(None) if x is None else F.when(known, x)
-        status = F.when(total >= min(least, i.k), rating(value, direction, green, amber)).otherwise("insufficient_data")
-        return F.struct(
-            F.lit(kpi).alias("kpi"), dbl(value).alias("value"), total.alias("n"), dbl(bound(low)).alias("ci_low"), dbl(bound(high)).alias("ci_high"),
-            status.alias("status"), (note[0] if note else F.lit("")).alias("note"),
-        )
-
-    return wide.select("g", F.explode(F.array(*[row(k) for k in DEFINITIONS])).alias("r")).select("g", "r.*"), b
+    structs = ", ".join(
+        f"struct('{k}' AS kpi, cast({h} as double) AS hits, cast({m} as bigint) AS n, cast({sc} as double) AS scale, cast({v} as double) AS plain, coalesce({note}, '') AS note)"
+        for k, (h, m, sc, v, note) in figures.items()
+    )
+    rows = wide.select("g", F.expr(f"explode(array({structs}))").alias("r")).select("g", "r.*")
+    pair = lambda x: x if isinstance(x, tuple) else (x, None)
+    limits = [(k, d, *pair(green), *pair(amber), min(least, i.k)) for k, (d, green, amber, least) in DEFINITIONS.items()]
+    limits = F.broadcast(i.audit.sparkSession.createDataFrame(limits, "kpi string, direction string, g1 double, g2 double, a1 double, a2 double, least int"))  # 29 rows
+    low, high = wilson(F.col("hits"), F.col("n"))
+    scaled = rows.withColumn("value", F.when(F.col("scale").isNull(), F.col("plain")).otherwise(ratio(F.col("hits"), F.col("n")) * F.col("scale")))
+    bound = lambda x: F.when(F.col("n") > 0, x * F.col("scale"))
+    status = """CASE WHEN n < least OR value IS NULL THEN 'insufficient_data' WHEN direction = 'info' THEN 'info'
+        WHEN CASE direction WHEN 'band' THEN value BETWEEN g1 AND g2 WHEN 'lower' THEN value <= g1 ELSE value >= g1 END THEN 'green'
+        WHEN CASE direction WHEN 'band' THEN value BETWEEN a1 AND a2 WHEN 'lower' THEN value <= a1 ELSE value >= a1 END THEN 'amber' ELSE 'red' END"""
+    shown = scaled.join(limits, "kpi").select("g", "kpi", "value", "n", bound(low).alias("ci_low"), bound(high).alias("ci_high"), F.expr(status).alias("status"), "note")
+    return shown, b
