@@ -20,6 +20,7 @@ def local_session(app: str = "sondage", cpus: int | str = "*", partitions: int =
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # fewer calls into the JVM for each expression
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
