@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sondage.functions.quantiles import exact_quantile
 from sondage.functions.stats import crossing, dbl, ewma, poisson_tail, ratio, sound, trend
 from sondage.plans.kpi import _hits, _true, refused
 from sondage.sources.audit import parse_time, with_key
@@ -155,21 +156,18 @@ def misreporting(o: Observed) -> DataFrame:
     meters = o.audit.filter("kind = 'energy'").select("key", "tenant", est.alias("est"), act.alias("act")).filter("est > 0 AND act IS NOT NULL")
     known = o.decisions.filter("key IS NOT NULL").groupBy("key").agg(F.max_by(F.struct("tenant"), "seq").alias("d"))
     own = F.when(F.col("d").isNotNull(), F.col("d.tenant")).otherwise(F.col("tenant"))
-    return (
-        meters.join(known, "key", "left")
-        .select(F.coalesce(F.nullif(own, F.lit("")), F.lit("default")).alias("tenant"), (F.col("act") / F.col("est")).alias("r"))
-        .groupBy("tenant").agg(F.count("*").alias("n"), F.median("r").alias("median"))
-    )
+    ratios = meters.join(known, "key", "left").select(F.coalesce(F.nullif(own, F.lit("")), F.lit("default")).alias("tenant"), (F.col("act") / F.col("est")).alias("r"))
+    return exact_quantile(ratios, ["tenant"], "r", 0.5).withColumnRenamed("quantile", "median")
 
 
 def carbon_thirds(o: Observed) -> DataFrame:
     """(n, early, late): mean carbon intensity of the first and the last third of the readings, one row.
 
-    The bounds of the thirds come from counts per moment, combined in parallel; no reading is sorted into one task.
+    The bounds of the thirds are exact quantiles of time; no reading is sorted into one task.
     """
     r = o.decisions.select(_us("timestamp").alias("t"), sound(F.col("energy.carbon_intensity_g_kwh")).alias("c")).filter("c IS NOT NULL AND t IS NOT NULL")
-    cuts = F.broadcast(r.agg(F.count("*").alias("n"), F.percentile("t", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q")))
-    return r.crossJoin(cuts).groupBy("n").agg(F.avg(F.when(F.col("t") <= F.col("q")[0], F.col("c"))).alias("early"), F.avg(F.when(F.col("t") >= F.col("q")[1], F.col("c"))).alias("late"))
+    one = exact_quantile(r, [], "t", 1 / 3).withColumnRenamed("quantile", "lo").crossJoin(F.broadcast(exact_quantile(r, [], "t", 2 / 3).select(F.col("quantile").alias("hi"))))
+    return r.crossJoin(F.broadcast(one)).groupBy("n").agg(F.avg(F.when(F.col("t") <= F.col("lo"), F.col("c"))).alias("early"), F.avg(F.when(F.col("t") >= F.col("hi"), F.col("c"))).alias("late"))
 
 
 def energy_steward(o: Observed, horizon_days: float = 7, least: int = 20, misreport: float = 1.5, rise: float = 1.2) -> DataFrame:
