@@ -29,6 +29,7 @@ DEFINITIONS: dict[str, tuple] = {
     "K-24": ("lower", 0.0, 0.02, 1), "K-25": ("lower", 1.25, 1.5, 20), "K-26": ("higher", 0.5, 0.3, 20), "K-27": ("higher", 1.0, 0.5, 1),
     "K-28": ("higher", 0.5, 0.2, 1), "K-29": ("higher", 0.9, 0.75, 1),
 }
+#: Topics of legitimate challenge.
 CHALLENGE_TOPICS = ("risk_information", "frank_health", "hard_history", "dangerous_legal_hobby", "learning_struggle")
 #: An incident is due in 15 days, a revocation in 72 hours; an hour makes a trip long.
 INCIDENT_S, REVOCATION_S, TRIP_S = 15 * 86_400, 72 * 3_600, 3_600

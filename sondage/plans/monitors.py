@@ -338,31 +338,49 @@ def diversity(o: Observed, disparity: float = 1.25, drop: float = 0.5, least: in
 
 
 def precursors(o: Observed, least: int = 3, window_d: int = 14) -> DataFrame:
-    """CA-12: signals about a target group that climb the ladder. Halves are cut by rank, counted per moment."""
+    """CA-12: signals about a target group that climb the ladder: the highest stage of the first half against that of the second.
+
+    A stage is in the first half if its first signal is, and in the second if its last one is. So only the ranks of two
+    signals a stage are needed, and those are counts; no subject's signals are sorted into one task.
+    """
     c = F.col
     stage = F.create_map(*[F.lit(x) for kv in STAGES.items() for x in kv])
     codes = F.array_union(F.array(F.coalesce("code", F.lit(""))), F.coalesce("governance_metadata.lexical_hits", F.array().cast("array<string>")))
     top = F.array_max(F.transform(codes, lambda x: F.element_at(stage, x)))
     subject = F.concat_ws("/", F.coalesce(F.nullif("tenant", F.lit("")), F.lit("default")), F.coalesce(F.nullif(c("labels.target_group"), F.lit("")), F.lit("unspecified")))
     s = o.decisions.filter(_us("timestamp") >= o.at - window_d * DAY_US).select(subject.alias("subject"), _us("timestamp").alias("t"), top.alias("stage")).filter("stage IS NOT NULL")
-    # Signals of one moment and stage are one row with a count, so the window holds moments, not records.
-    cells = s.groupBy("subject", "t", "stage").agg(F.count("*").alias("k"))
-    w = W.partitionBy("subject").orderBy("t", "stage")
-    ranked = cells.withColumns({"end": F.sum("k").over(w), "n": F.sum("k").over(W.partitionBy("subject")), "first": F.first("stage").over(w)})
+    kinds = sorted(set(STAGES.values()))
+    ends = s.groupBy("subject").agg(
+        F.count("*").alias("n"), F.min(F.struct("t", "stage"))["stage"].alias("first"),
+        *[f(F.when(c("stage") == k, c("t"))).alias(f"{name}{k}") for k in kinds for name, f in (("f", F.min), ("l", F.max))],
+    ).filter(c("n") >= least)
+    before = lambda k: (c("t") < c(f"f{k}")) | ((c("t") == c(f"f{k}")) & (c("stage") < k))
+    upto = lambda k: (c("t") < c(f"l{k}")) | ((c("t") == c(f"l{k}")) & (c("stage") <= k))
+    ranks = s.join(ends, "subject").groupBy("subject", "n", "first").agg(
+        *[F.when(F.first(f"f{k}").isNotNull(), F.count_if(before(k))).alias(f"b{k}") for k in kinds], *[F.when(F.first(f"f{k}").isNotNull(), F.count_if(upto(k))).alias(f"u{k}") for k in kinds]
+    )
     half = F.floor(c("n") / 2)
-    found = (
-        ranked.groupBy("subject", "n").agg(F.max(F.when(c("end") - c("k") < half, c("stage"))).alias("early"), F.max(F.when(c("end") > half, c("stage"))).alias("late"), F.min("first").alias("first"))
-        .withColumn("early", F.coalesce("early", "first")).filter((c("n") >= least) & ((c("late") > c("early")) | (c("late") >= 4)))
-    )
+    highest = lambda conds: F.greatest(*[F.when(x, k) for k, x in zip(kinds, conds)])
+    found = ranks.withColumns({"early": F.coalesce(highest([c(f"b{k}") < half for k in kinds]), c("first")), "late": highest([c(f"u{k}") > half for k in kinds])})
+    found = found.filter((c("late") > c("early")) | (c("late") >= 4))
     return _alerts(found, "CA-12", "ATROCITY_PRECURSOR_ESCALATION", F.when(c("late") >= 5, "critical").otherwise("warning"), "Signals of dehumanisation escalate", value=dbl(c("late")), level=dbl(c("early")),
                    n=c("n"), confidence=dbl(0.5), subject=c("subject"))
 
 
 def flow_ratios(o: Observed) -> DataFrame:
-    """(region, day, ratio, o, t0): returned over extracted value, both summed up to each event, by whole days since a region's first."""
+    """(region, day, ratio, o, t0): returned over extracted value, both summed up to each event, by whole days since a region's first.
+
+    Sums run within blocks of an hour and are carried from block to block, so a region's events are never one task.
+    """
     e = o.of("value_flow").select(F.coalesce("region", F.lit("None")).alias("region"), _us("timestamp").alias("t"), "event_no", F.coalesce("extracted", dbl(0.0)).alias("x"), F.coalesce("returned", dbl(0.0)).alias("r"))
-    w = W.partitionBy("region").orderBy("t", "event_no").rowsBetween(W.unboundedPreceding, 0)
-    p = e.withColumns({"sx": F.sum("x").over(w), "sr": F.sum("r").over(w), "t0": F.min("t").over(W.partitionBy("region"))}).filter("sx > 0")
+    e = e.withColumn("b", F.floor(F.col("t") / F.lit(3_600_000_000)))
+    blocks = e.groupBy("region", "b").agg(F.sum("x").alias("bx"), F.sum("r").alias("br"), F.min("t").alias("bt"))
+    prior = W.partitionBy("region").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+    carried = blocks.select(
+        "region", "b", F.coalesce(F.sum("bx").over(prior), dbl(0.0)).alias("px"), F.coalesce(F.sum("br").over(prior), dbl(0.0)).alias("pr"), F.min("bt").over(W.partitionBy("region")).alias("t0")
+    )
+    w = W.partitionBy("region", "b").orderBy("t", "event_no").rowsBetween(W.unboundedPreceding, 0)
+    p = e.withColumns({"ox": F.sum("x").over(w), "orr": F.sum("r").over(w)}).join(carried, ["region", "b"]).withColumns({"sx": F.col("px") + F.col("ox"), "sr": F.col("pr") + F.col("orr")}).filter("sx > 0")
     return p.select("region", F.floor((F.col("t") - F.col("t0")) / F.lit(DAY_US)).alias("day"), (F.col("sr") / F.col("sx")).alias("ratio"), F.struct("t", "event_no").alias("o"), "t0")
 
 
