@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from sondage.functions.quantiles import exact_quantile
 from sondage.functions.stats import dbl, ratio, sound, wilson
+from sondage.session import cut_lineage
 from sondage.sources.audit import with_key
 
 # Fixed values of the indicators: id -> (direction, green, amber, least n).
@@ -281,7 +282,7 @@ def compute(i: Inputs, *, whole_trail: DataFrame | None = None, rules: tuple[flo
     audit, events = grouped(i)
     decisions = audit.filter("kind = 'decision'")
     ids = id_facts(audit, events)
-    appealed = appeals(events, ids)
+    appealed = cut_lineage(appeals(events, ids))  # a row for each language and topic of a group; read twice below
     b = breakdowns(decisions, events, appealed, i.k)
     trail = (with_key(whole_trail).withColumn("g", F.lit("")) if whole_trail is not None and i.by is None else audit).groupBy("g").agg(
         F.count("*").alias("written"), F.coalesce(F.max("sink_failures"), F.lit(0)).alias("failures")
