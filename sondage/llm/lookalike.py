@@ -125,11 +125,9 @@ def consistent(text: str | None) -> str | None:
 
 def _one_script(text: str) -> str:
     """Tokens of a decomposed text spelt in consistent scripts."""
+    if {script(ch) for ch in set(text)} <= {None, "Latin"}:
+        return text  # no letter of another script: Latin can spell every token
     tokens = _TOKEN.findall(text)
-    if all(ch.isascii() or ch not in CLASS for ch in set(text)):
-        # Only members of the Latin row: their spelling is settled unless the text is in another script.
-        if not any(resolved(t) - {"Latin"} and "Latin" not in resolved(t) for t in tokens):
-            return text
     seen: Counter[str] = Counter()
     for t in tokens:
         if len(r := resolved(t)) == 1:

@@ -195,7 +195,7 @@ def page(text: str | None) -> Page:
     if not text or not text.strip():
         return Page(0, 0, 0, 0)
     if not text.isascii():
-        text = "\n".join(consistent(line) or "" for line in text.split("\n"))
+        text = "\n".join(line if line.isascii() else consistent(line) for line in text.split("\n"))
     if "&" in text:
         text = html.unescape(text)
     text = _QUOTE.sub("", text)

@@ -26,7 +26,7 @@ def plain(text: str) -> str:
     if "&" in text:
         text = html.unescape(text)
     if not text.isascii():
-        text = "\n".join(consistent(line) or "" for line in text.split("\n"))
+        text = "\n".join(line if line.isascii() else consistent(line) for line in text.split("\n"))
     if "-\n" in text or "-\r\n" in text:
         text = _HYPHENATED.sub("", text)
     if "*" in text or "_" in text or "~~" in text or "`" in text:
