@@ -23,7 +23,10 @@ SCHEMA = "entity string, day int, span_days bigint, records bigint, total double
 
 
 def daily(df: DataFrame, entity: Column, ts: Column, value: Column, counted: Column) -> DataFrame:
-    """(entity, day, records, total): the counted records per entity and day since 1970, UTC."""
+    """(entity, day, records, total): the counted records per entity and day since 1970, UTC.
+
+    Values that are infinite or no numbers make the total of their day so, and of the spans that hold it, no others.
+    """
     day = F.floor(F.unix_micros(ts) / F.lit(86_400_000_000)).cast("int")
     return (
         df.filter(counted)
@@ -60,10 +63,18 @@ def _blocks(batches: Iterator[pa.RecordBatch], spans: tuple[int, ...], last: int
             b = min(a + block, len(starts))
             lo, hi = starts[a], starts[b] if b < len(starts) else len(no)
             sums, counts = np.zeros((b - a, halo + tile)), np.zeros((b - a, halo + tile))
-            sums[row[lo:hi] - a, col[lo:hi]] = t["total"].to_numpy()[lo:hi]
+            total = t["total"].to_numpy()[lo:hi]
+            finite = np.isfinite(total)
+            sums[row[lo:hi] - a, col[lo:hi]] = np.where(finite, total, 0.0)
             counts[row[lo:hi] - a, col[lo:hi]] = t["records"].to_numpy()[lo:hi]
             shape = (b - a, tile, len(spans))
             n, s = (counts @ banded).reshape(shape), (sums @ banded).reshape(shape)
+            if not finite.all():  # days that aren't finite are counted by kind, since 0 times infinity is no number
+                for value in (np.inf, -np.inf, np.nan):
+                    odd = np.zeros_like(sums)
+                    odd[row[lo:hi] - a, col[lo:hi]] = np.isnan(total) if value != value else total == value
+                    if odd.any():
+                        s = s + np.where((odd @ banded).reshape(shape) > 0.5, value, 0.0)
             busy = counts[:, halo:, None] > 0
             day = no[starts[a:b], None] * tile + np.arange(tile)
             keep = (n > 0) & (day <= last)[:, :, None] & ~(busy & quiet)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondage.functions.ids import clean_name, hex_key, utc_day
@@ -12,20 +12,27 @@ from sondage.sources.tables import table
 SPANS = (7, 30)
 
 
-def p1_records(spark: SparkSession, folder: str) -> DataFrame:
-    return nested.first_deliveries(nested.read_records(table(spark, folder, "audit_raw"), "raw_id", "line"))
+def p1_records(spark: SparkSession, folder: str, *columns: Column | str) -> DataFrame:
+    return nested.first_deliveries(nested.read_records(table(spark, folder, "audit_raw"), "raw_id", "line"), *columns)
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return nested.elements(p1_records(spark, folder)).select(F.col("line_id").alias("raw_id"), "child", "elem")
+    return nested.elements(p1_records(spark, folder, *nested.positions())).select(F.col("line_id").alias("raw_id"), "child", "elem")
+
+
+def _counted(c: Column) -> Column:
+    """Entries with the place they were written at, without those that do not count."""
+    placed = F.transform(c, lambda x, i: F.when(x.isNotNull(), F.struct(F.coalesce(x["key"], i.cast("bigint")).alias("pos"), *[x[f].alias(f) for f in ("evaluator", "passed", "code", "findings")])))
+    return F.filter(placed, lambda x: x.isNotNull())
 
 
 def p1_raw_evaluators(spark: SparkSession, folder: str) -> DataFrame:
-    return nested.child_table(p1_records(spark, folder), ["line_id"], ["evaluators"])
+    return nested.child_table(p1_records(spark, folder, _counted(F.col("evaluators")).alias("evaluators")), ["line_id"], ["evaluators"])
 
 
 def p1_raw_findings(spark: SparkSession, folder: str) -> DataFrame:
-    return nested.child_table(p1_records(spark, folder), ["line_id"], ["evaluators", "findings"])
+    found = nested.child_table(p1_records(spark, folder, _counted(F.col("evaluators")).alias("evaluators")), ["line_id"], ["evaluators", "findings"])
+    return found.filter("body IS NOT NULL")  # entries that are no objects
 
 
 def p1_evaluators(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,7 +65,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_orphans_by_period(spark: SparkSession, folder: str) -> DataFrame:
-    counts = references.orphan_counts(p2_orphans(spark, folder), F.date_format(utc_day(F.col("arrival")), "yyyy-MM"))
+    counts = references.orphan_counts(*_p2_inputs(spark, folder), F.date_format(utc_day(F.col("arrival")), "yyyy-MM"))
     return counts.select("src_table", "period", "state", "orphans")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ def local_session(app: str = "sondage", cpus: int | str = "*", partitions: int =
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # fewer calls into the JVM for each expression
         .getOrCreate()
     )
@@ -30,13 +32,16 @@ def local_session(app: str = "sondage", cpus: int | str = "*", partitions: int =
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` where every executor can read it again.
 
-    The folder is the session's ``spark.checkpoint.dir``, shared by all executors, so losing an
-    executor costs nothing. Only where that setting is absent (tests, a laptop) a local folder is made.
+    The folder is the session's ``spark.checkpoint.dir``, shared by all executors, so losing an executor costs
+    nothing. Where that setting is absent a folder of this machine is made, but only for a master that is this
+    machine (tests, a laptop); on a cluster it is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sondage-checkpoint-"))
     return df.checkpoint(eager=True)
 

@@ -32,6 +32,20 @@ def test_every_shape_gives_the_same_elements(spark):
         assert {(r.child, r.elem) for r in got if r.line_id == i} == ELEMENTS, line
 
 
+def test_any_number_of_wrappings():
+    boxed, text = RECORD, RECORD
+    for i in range(50):
+        boxed = [boxed] if i % 2 else {"note": {"audit_id": "the shipper's own"}, "inner": boxed}
+    for _ in range(9):
+        text = json.dumps(text)
+    whole = json.dumps(RECORD)
+    very_deep = '{"w":' * 5_000 + whole + "}" * 5_000
+    lines = [json.dumps(boxed), text, "[shipper {host=a}] {} " + whole, "app: " + json.dumps(whole), very_deep, "pre " + very_deep, "{" + whole, whole + " trailing {"]
+    lines.append(json.dumps({"audit_id": "a wrapper with an id of its own", "record": RECORD}))
+    for line in lines:
+        assert nested.read_line(line) == RECORD, line[:80]
+
+
 def test_lines_that_do_not_count(spark):
     whole = json.dumps(RECORD)
     lines = [None, "", "   ", "null", "[]", "{}", "-- rotated --", "42", '"text"', whole[:-1], whole[: len(whole) // 2], json.dumps({"kind": "x"}), json.dumps({"audit_id": " "}), json.dumps({"audit_id": None})]

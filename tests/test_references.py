@@ -1,3 +1,4 @@
+from collections import Counter
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -26,15 +27,27 @@ def brute(refs, targets, erased):
 
 
 def test_states_with_and_without_heavy_keys(spark):
-    refs = [("e", i, f"k{i % 7}", T0 + timedelta(hours=i)) for i in range(40)] + [("e", 100 + i, "hot", T0) for i in range(60)] + [("a", 5, "k1", None), ("e", 5, "k5", T0), ("e", 5, "k5", T0)]
+    refs = [("e", i, f"k{i % 7}", T0 + timedelta(hours=i)) for i in range(40)] + [("e", 100 + i, "hot", T0) for i in range(60)] + [("a", 5, "k1", None), ("e", 205, "k5", T0), ("e", 205, "k5", T0)]
     targets = [("k1", T0 + timedelta(hours=10)), ("k1", T0 + timedelta(hours=20)), ("k2", T0), ("hot", T0 + timedelta(hours=1)), (None, T0), ("k4", None)]
     erased = ["k3", "k3", "k1", None]
     want = brute(refs, targets, erased)
     f = frames(spark, refs, targets, erased)
-    for least in (10_000, 20, 1):
-        got = references.orphans(*f, least=least)
-        assert sorted((r.src_table, r.row_id, r.state) for r in got.collect()) == want, least
-    assert references.heavy_keys(f[0], most=1, least=20) == ["hot"]
+    counts = Counter((t, at and f"{at:%H}", state) for t, i, state in want for at in [next(r[3] for r in refs if r[:2] == (t, i))])
+    for shares in (2_000, 4, 1):  # all keys heavy, one of them, none
+        got = references.orphans(*f, shares=shares)
+        assert sorted((r.src_table, r.row_id, r.state) for r in got.collect()) == want, shares
+        counted = references.orphan_counts(*f, F.date_format("arrival", "HH"), shares=shares).collect()
+        assert {(r.src_table, r.period, r.state): r.orphans for r in counted} == counts, shares
+    assert references.heavy_keys(f[0].withColumn("n", F.lit(1)), len(refs), 4) == ["hot"]
+
+
+def test_a_hot_key_is_never_shuffled(spark):
+    refs = spark.range(60_000).select(F.lit("e").alias("src_table"), F.col("id").alias("row_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), "id")).alias("key"), F.lit(T0).alias("arrival"))
+    targets = refs.filter("row_id % 2 = 0").select("key", "arrival")
+    out = references.orphans(refs, targets, refs.select("key").limit(0))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan and "NOT (key" in plan  # the hot key by broadcast, the others by their shuffled join
+    assert out.count() == 20_000 and {r.state for r in out.select("state").distinct().collect()} == {"missing"}
 
 
 def test_empty_tables_and_extra_columns(spark):
@@ -42,12 +55,7 @@ def test_empty_tables_and_extra_columns(spark):
     assert [r.state for r in references.orphans(refs.withColumn("first_seen", F.lit(1)), targets.withColumn("state", F.lit("x")), erased.withColumn("exists", F.lit(1))).collect()] == ["missing"]
     none = frames(spark, [], [("k", T0)], ["k"])
     assert references.orphans(*none).count() == 0
-
-
-def test_counts_by_period(spark):
-    found = spark.createDataFrame([("e", 1, T0, "late"), ("e", 2, T0, "late"), ("e", 3, None, "missing")], "src_table string, row_id bigint, arrival timestamp, state string")
-    got = {tuple(r) for r in references.orphan_counts(found, F.date_format("arrival", "yyyy-MM")).collect()}
-    assert got == {("e", "2026-01", "late", 2), ("e", None, "missing", 1)}
+    assert references.orphan_counts(*none, F.date_format("arrival", "yyyy")).count() == 0
 
 
 def test_keys(spark):

@@ -50,6 +50,16 @@ def test_nulls_ties_and_empty(spark):
     assert rolling.rolling(days, (0,), last).count() == 0
 
 
+def test_infinite_values_stay_within_their_spans(spark):
+    t = datetime(2026, 1, 1)
+    rows = [("a", t, float("inf")), ("a", t + timedelta(days=3), -float("inf")), ("b", t, float("nan")), ("c", t, 2.0)] + [(e, t + timedelta(days=d), 1.0) for e in "abc" for d in range(12)]
+    df = spark.createDataFrame(rows, "entity string, ts timestamp, v double")
+    days = rolling.daily(df, F.col("entity"), F.col("ts"), F.col("v"), F.lit(True))
+    got = {(r.entity, r.day - 20_454): r.total for r in rolling.rolling(days, (3,), 20_454 + 13).collect()}
+    assert [str(got["a", d]) for d in range(14)] == ["inf"] * 3 + ["-inf"] * 3 + ["3.0"] * 6 + ["2.0", "1.0"]
+    assert [got["b", d] == got["b", d] for d in range(5)] == [False] * 3 + [True] * 2 and got["c", 0] == 3.0 and got["c", 4] == 3.0
+
+
 def test_averages(spark):
     df = spark.createDataFrame([("a", 1, 7, 2, 14.0, True)], rolling.SCHEMA)
     r = rolling.with_averages(df).first()
