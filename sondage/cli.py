@@ -1,4 +1,4 @@
-"""Command line: validate-policy, policy-diff, schema, check, kpi-export, monitor. Exit codes: 0 fine, 1 invalid or blocked, 2 critical."""
+"""Command line: validate-policy, policy-diff, schema, check, kpi-export, monitor, dashboard. Exit codes: 0 fine, 1 invalid, 2 blocked or critical."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from datetime import datetime, timezone
 
 from sondage.plans import policy as P
 
+KEY = "SONDAGE_AUDIT_KEY"
+
 
 def _spark():  # noqa: ANN202
     from sondage.session import local_session, ship
@@ -18,17 +20,33 @@ def _spark():  # noqa: ANN202
 
 
 def _trail(a: argparse.Namespace):  # noqa: ANN202
-    from sondage.sources.audit import load_audit, load_events
+    from sondage import schemas
+    from sondage.sources.audit import from_records, load_audit, load_events
 
     spark = _spark()
-    return load_audit(spark, a.audit), load_events(spark, a.events)
+    events = load_events(spark, a.events) if a.events else from_records(spark, [], schemas.EVENTS, "event_no")
+    return load_audit(spark, a.audit), events
+
+
+def _chain(audit) -> tuple[float | None, int, str] | None:  # noqa: ANN001
+    """K-14 of a trail, if the key of its digests is set."""
+    from sondage.operators.state import chain_share
+
+    key = os.environ.get(KEY)
+    return chain_share(audit, key.encode()) if key else None
 
 
 def validate(a: argparse.Namespace) -> int:
-    found = P.errors(P.read(a.policy))
-    for path, message in found:
-        print(f"{path}: {message}")
-    return int(bool(found))
+    bad = 0
+    for path in a.policies:
+        try:
+            found = P.errors(P.read(path))
+        except P.PolicyError as e:
+            found = e.errors
+        for at, message in found:
+            print(f"{path}: {at or '<root>'}: {message}")
+        bad |= bool(found)
+    return int(bad)
 
 
 def diff(a: argparse.Namespace) -> int:
@@ -41,31 +59,56 @@ def diff(a: argparse.Namespace) -> int:
 def check(a: argparse.Namespace) -> int:
     from sondage.operators.decisions import external, screen
 
-    rows = [("cli", a.prompt, a.completion, 0.0, None, None, False, False, None, a.context)]
-    cols = "audit_id string, prompt string, completion string, estimated_kwh double, carbon_intensity double, water_l double, macro_policy boolean, affects_community boolean, community_consent boolean, context string"
+    cols = "audit_id string, prompt string, completion string, macro_policy boolean, context string"
     limits = P.limits(P.validated(P.read(a.policy))) if a.policy else P.limits({})
-    r = external(screen(_spark().createDataFrame(rows, cols), limits)).first().asDict()
+    r = external(screen(_spark().createDataFrame([("cli", a.prompt, a.completion, a.macro_policy, a.context)], cols), limits)).first().asDict()
     print(json.dumps(r))
-    return int(r["status"] == "BLOCKED")
+    return 2 if r["status"] == "BLOCKED" else 0
 
 
 def export(a: argparse.Namespace) -> int:
     from sondage.plans.snapshot import build
+    from sondage.sources.audit import parse_time
 
     audit, events = _trail(a)
-    doc = build(audit, events, datetime.now(timezone.utc), delay_days=a.delay_days, k=a.k, consent=a.consent)
-    with open(a.out, "w", encoding="utf-8") as f:
-        json.dump(doc, f, default=str, sort_keys=True)
+    now = parse_time(a.now) if a.now else datetime.now(timezone.utc)
+    policy = P.validated(P.read(a.policy)) if a.policy else None
+    doc = build(audit, events, now, delay_days=a.delay_days, k=a.k, policy=policy, chain=_chain(audit), consent=True if a.consent else None, demonstration=a.demonstration)
+    with open(a.out, "w", encoding="utf-8") if a.out else sys.stdout as f:
+        json.dump(doc, f, default=str, ensure_ascii=False, indent=1)
+        f.write("\n")
     return 0
 
 
 def monitor(a: argparse.Namespace) -> int:
+    """Alerts are written where they are found if ``out`` is a folder's name without ``.jsonl``, else streamed to one file."""
     from sondage.plans import monitors
+    from sondage.sources.audit import parse_time
 
-    alerts = monitors.assess(monitors.observe(*_trail(a))).collect()
+    audit, events = _trail(a)
+    chain = _chain(audit)
+    broken = 0 if chain is None or chain[0] is None else round(chain[1] * (1 - chain[0]))
+    agents = monitors.AGENTS | {"CA-6": lambda o: monitors.integrity(o, broken)}
+    alerts = monitors.assess(monitors.observe(audit, events, parse_time(a.now) if a.now else None), agents)
+    critical = False
+    if a.out and not a.out.endswith(".jsonl"):
+        alerts.write.mode("overwrite").json(a.out)
+        return 2 if not alerts.filter("severity = 'critical'").isEmpty() else 0
     with open(a.out, "w", encoding="utf-8") if a.out else sys.stdout as f:
-        f.writelines(json.dumps(r.asDict(), default=str) + "\n" for r in alerts)
-    return 2 if any(r.severity == "critical" for r in alerts) else 0
+        for r in alerts.toLocalIterator():
+            critical |= r.severity == "critical"
+            f.write(json.dumps(r.asDict(), default=str) + "\n")
+    return 2 if critical else 0
+
+
+def dashboard(a: argparse.Namespace) -> int:
+    from sondage.plans.snapshot import dashboard as page
+
+    with open(a.snapshot, encoding="utf-8") as f:
+        doc = json.load(f)
+    with open(a.out, "w", encoding="utf-8") as f:
+        f.write(page(doc))
+    return 0
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -78,13 +121,15 @@ def main(argv: list[str] | None = None) -> int:
         for flags, options in args:
             c.add_argument(*flags, **options)
 
-    trail = [(["--audit"], {"required": True}), (["--events"], {"required": True})]
-    command("validate-policy", validate, (["policy"], {}))
+    out, needed = (["--out"], {}), {"required": True}
+    trail = [(["--audit"], needed), (["--events"], {}), out, (["--now"], {})]
+    command("validate-policy", validate, (["policies"], {"nargs": "+"}))
     command("policy-diff", diff, (["old"], {}), (["new"], {}))
     command("schema", lambda _: print(json.dumps(P.schema(), indent=1)) or 0)
-    command("check", check, (["completion"], {}), (["--prompt"], {"default": ""}), (["--context"], {}), (["--policy"], {}))
-    command("kpi-export", export, *trail, (["--out"], {"required": True}), (["--delay-days"], {"type": int, "default": 30}), (["--k"], {"type": int, "default": 20}), (["--consent"], {"action": "store_true"}))
-    command("monitor", monitor, *trail, (["--out"], {}))
+    command("check", check, (["completion"], {}), (["--prompt"], {"default": ""}), (["--context"], {}), (["--policy"], {}), (["--macro-policy"], {"action": "store_true"}))
+    command("kpi-export", export, *trail, (["--policy"], {}), (["--delay-days"], {"type": int, "default": 7}), (["--k"], {"type": int, "default": 20}), (["--consent"], {"action": "store_true"}), (["--demonstration"], {"action": "store_true"}))
+    command("monitor", monitor, *trail)
+    command("dashboard", dashboard, (["--snapshot"], needed), (["--out"], needed))
     a = p.parse_args(argv)
     try:
         return a.run(a)
@@ -95,9 +140,9 @@ def main(argv: list[str] | None = None) -> int:
 
 def audit_key() -> bytes:
     """The key of the audit trail from SONDAGE_AUDIT_KEY, else a random one with a warning."""
-    if key := os.environ.get("SONDAGE_AUDIT_KEY"):
+    if key := os.environ.get(KEY):
         return key.encode()
-    print("no SONDAGE_AUDIT_KEY: digests can't be checked later", file=sys.stderr)
+    print(f"no {KEY}: digests can't be checked later", file=sys.stderr)
     return os.urandom(32)
 
 

@@ -11,11 +11,12 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sondage.functions.text import normal, sentence_around
+from sondage.functions.text import Sentences, normal
 
 LIMIT_S = 0.05
 
@@ -42,17 +43,19 @@ class Rule:
             self._compiled.extend(regex.compile(p, regex.I) if p else None for p in (self.pattern, self.unless))
         return self._compiled[0], self._compiled[1]
 
-    def hits(self, text: str) -> list[tuple[int, int]]:
+    def hits(self, text: str, sentences: Sentences | None = None) -> list[tuple[int, int]]:
         """Places of all hits that nothing excuses; :class:`RuleTimeout` if the limit is passed."""
         pattern, unless = self.compiled()
         try:
             found = [m.span() for m in pattern.finditer(text, timeout=self.limit_s)]
-            return [s for s in found if unless is None or not self._excused(unless, text, s[0])]
+            if unless is None or not found:
+                return found
+            sentences = sentences or Sentences(text)
+            return [s for s in found if not self._excused(unless, text, *sentences.around(s[0]))]
         except TimeoutError as e:
             raise RuleTimeout(self.code) from e
 
-    def _excused(self, unless: regex.Pattern, text: str, at: int) -> bool:
-        a, b = sentence_around(text, at)
+    def _excused(self, unless: regex.Pattern, text: str, a: int, b: int) -> bool:
         return any(not _DENIED.search(text, a, m.start()) for m in unless.finditer(text, a, b, timeout=self.limit_s))
 
 
@@ -69,9 +72,8 @@ _CLASSES = {
 }
 
 
-def mitigations(text: str, start: int, end: int) -> list[str]:
-    """Why a hit is only a mention: the classes of its sentence, or none if the sentence proposes the act."""
-    a, b = sentence_around(text, start)
+def mitigations(text: str, start: int, a: int, b: int) -> list[str]:
+    """Why a hit is only a mention: the classes of its sentence (from ``a`` to ``b``), or none if the sentence proposes the act."""
     sentence = text[a:b]
     if _GUARD.search(sentence):
         return []
@@ -88,15 +90,20 @@ class Screened(NamedTuple):
 
 def screen(rules: Iterable[Rule], text: str | None) -> Screened:
     """All rules over one text; null and empty texts have no hits."""
+    return _screen(rules, normal(text))
+
+
+def _screen(rules: Iterable[Rule], form: str | None, sentences: Sentences | None = None) -> Screened:
+    """:func:`screen` of a text in normal form, whose sentences may be cut already."""
     out = Screened([], [], [])
-    form = normal(text)
     if not form:
         return out
+    sentences = sentences or Sentences(form)
     for rule in rules:
         try:
-            for a, b in rule.hits(form):
-                why = mitigations(form, a, b)
-                (out.mentions if why else out.proposals).append((rule.code, a, b, why))
+            for start, end in rule.hits(form, sentences):
+                why = mitigations(form, start, *sentences.around(start))
+                (out.mentions if why else out.proposals).append((rule.code, start, end, why))
         except RuleTimeout:
             out.timed_out.append(rule.code)
     return out
@@ -110,21 +117,67 @@ def rules_for(context: str | None, rules: Sequence[Rule], custom: Sequence[Rule]
 
 _HIT = "array<struct<code: string, start: int, stop: int, mitigations: array<string>>>"
 SCREENED = f"struct<proposals: {_HIT}, mentions: {_HIT}, timed_out: array<string>>"
+_HITS = pa.list_(pa.struct([("code", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("mitigations", pa.list_(pa.string()))]))
+_FOUND = pa.struct([("proposals", _HITS), ("mentions", _HITS), ("timed_out", pa.list_(pa.string()))])
+
+
+def _rows(found: Screened) -> dict:
+    named = lambda hits: [dict(zip(("code", "start", "stop", "mitigations"), h)) for h in hits]
+    return {"proposals": named(found.proposals), "mentions": named(found.mentions), "timed_out": found.timed_out}
 
 
 def screened(text: Column, rules: Sequence[Rule], context: Column | None = None, custom: Sequence[Rule] = ()) -> Column:
-    """:func:`screen` of a column, with the rules of each row's ``context``."""
+    """:func:`screen` of a column, with the rules of each row's ``context``, in Arrow batches."""
     by: dict = {}
 
-    @F.udf(SCREENED, useArrow=True)
-    def run(t, c):
-        if c not in by:
-            by[c] = rules_for(c, rules, custom)
-        return tuple(screen(by[c], t))
+    @F.arrow_udf(SCREENED)
+    def run(texts: pa.Array, contexts: pa.Array) -> pa.Array:
+        out = []
+        for t, c in zip(texts.to_pylist(), contexts.to_pylist()):
+            if c not in by:
+                by[c] = rules_for(c, rules, custom)
+            out.append(_rows(screen(by[c], t)))
+        return pa.array(out, _FOUND)
 
     return run(text, context if context is not None else F.lit(None).cast("string"))
 
 
+READ = f"struct<norm: string, t3: {SCREENED}, t2: {SCREENED}, structural: array<string>, policy_like: boolean, error: string>"
+
+
+def read(text: Column, context: Column, rules: Sequence[Rule], custom: Sequence[Rule] = (), structural: Sequence[Rule] = ()) -> Column:
+    """Everything that screening asks of a text, from one normal form and one cut into sentences.
+
+    Struct :data:`READ`: the form, hits of tier-3 rules, hits of the rules of the row's context and of a community's own,
+    codes of structural rules, whether the text reads like policy, and the name of an exception if one was raised.
+    """
+    three = [r for r in rules if r.tier == 3]
+    two = [r for r in rules if r.tier != 3]
+    by: dict = {}
+    kind = pa.struct([("norm", pa.string()), ("t3", _FOUND), ("t2", _FOUND), ("structural", pa.list_(pa.string())), ("policy_like", pa.bool_()), ("error", pa.string())])
+
+    def one(t: str | None, c: str | None) -> dict:
+        if c not in by:
+            by[c] = rules_for(c, two, custom)
+        form = normal(t)
+        cut = Sentences(form) if form else None
+        flagged = [r.code for r in structural if form and r.hits(form, cut)]
+        return {"norm": form, "t3": _rows(_screen(three, form, cut)), "t2": _rows(_screen(by[c], form, cut)), "structural": flagged, "policy_like": _like_policy(form or ""), "error": None}
+
+    @F.arrow_udf(READ)
+    def run(texts: pa.Array, contexts: pa.Array) -> pa.Array:
+        out = []
+        for t, c in zip(texts.to_pylist(), contexts.to_pylist()):
+            try:
+                out.append(one(t, c))
+            except Exception as e:  # a failing check is a result of its row, never of the job
+                none = _rows(Screened([], [], []))
+                out.append({"norm": None, "t3": none, "t2": none, "structural": [], "policy_like": False, "error": type(e).__name__})
+        return pa.array(out, kind)
+
+    return run(text, context)
+
+
 def mentioned(text: Column, patterns: dict[str, str]) -> Column:
     """Codes of plain patterns that occur, wholly in the JVM: for patterns in the dialect of all engines."""
     return F.filter(F.array(*[F.when(F.regexp_like(text, F.lit("(?i)" + p)), F.lit(c)) for c, p in patterns.items()]), lambda x: x.isNotNull())
@@ -135,13 +188,14 @@ def confusion(labelled: DataFrame, label: str, verdict: Column) -> DataFrame:
     return labelled.groupBy(F.col(label).alias("label"), verdict.alias("verdict")).agg(F.count("*").alias("n"))
 
 
-# --- our own lexicon, a rule for each code ---
+# --- our own lexicon, one or more rules for each code ---
 _GROUP = r"(?:people|community|communities|population|villages?|families|residents|citizens|minorit\w+|tribes?|groups?|workers|elders|children)"
 _FILL = r"(?:\s+\w+){0,2}\s+"
 LEXICON: tuple[Rule, ...] = (
     Rule("POPULATION_HARM", rf"\b(?:kill|eliminate|exterminate|eradicate|starve|wipe out|sterili[sz]e){_FILL}{_GROUP}\b", "harm to a population", tier=3),
     Rule("POPULATION_HARM", r"\b(?:depopulation|ethnic cleansing|mass (?:killing|deportation)) (?:programme|program|plan|campaign)\b", "a programme of atrocity", tier=3),
     Rule("HUMAN_WORTH_RANKING", rf"\b{_GROUP}{_FILL}?(?:are|is) (?:vermin|parasites|worthless|sub-?human|less than human)\b", "dehumanising words", tier=3),
+    Rule("HUMAN_WORTH_RANKING", rf"\b(?:god|nature|destiny|history|the nation|the market|the planet) (?:requires?|demands?|commands?|wills?)\b[^.!?;]{{0,60}}\b(?:kill\w*|remov\w+|purg\w+|sacrific\w+|extermin\w+|enslav\w+)\b", "a higher authority made to require harm", tier=3),
     Rule("HUMAN_WORTH_RANKING", r"\b(?:life|lives|people)\b[^.!?;]{0,40}\b(?:worth (?:less|\d+)|counts? for (?:less|\d+))\b", "lives ranked", tier=3),
     Rule("RIGHTS_OVERRIDE", r"\b(?:suspend|override|ignore|waive)\b[^.!?;]{0,30}\brights?\b[^.!?;]{0,40}\b(?:efficien\w+|optimi[sz]\w+|output|profit|stability)\b", "rights set aside for a goal", tier=3),
     Rule("ARBITRARY_CONFINEMENT_OR_FORCED_LABOUR", r"\bforced labou?r\b|\b(?:detain|confine|jail)\b[^.!?;]{0,30}\bwithout (?:trial|charge|process)\b", "confinement or forced labour", tier=3),
@@ -150,6 +204,11 @@ LEXICON: tuple[Rule, ...] = (
     Rule("DISSENT_SUPPRESSION", r"\b(?:suppress|silence|track|blacklist)\b[^.!?;]{0,30}\b(?:dissent\w*|protest\w*|critics|journalists|petition\w*)\b", "dissent suppressed", tier=3),
     Rule("COGNITIVE_MANIPULATION", r"\b(?:deceive|trick|mislead)\b[^.!?;]{0,30}\binto\b|\bsow (?:division|discord)\b|\bexploit\b[^.!?;]{0,30}\b(?:fears?|loneliness|vulnerab\w+)\b", "manipulation", tier=3),
     Rule("CHILD_OR_MATERNAL_ENDANGERMENT", r"\bchild (?:labou?r|soldiers?)\b|\bwithhold\b[^.!?;]{0,40}\b(?:maternal|children|infants?|pregnan\w+)\b", "children or mothers endangered", tier=3),
+    Rule("CHILD_OR_MATERNAL_ENDANGERMENT", r"\b(?:withhold|den(?:y|ying)|cut)\b[^.!?;]{0,40}\b(?:midwi\w+|antenatal|maternity|vaccin\w+|school meals?)\b", "care withheld", tier=3),
+    Rule("CHILD_OR_MATERNAL_ENDANGERMENT", r"\b(?:sell|buy|trade|rent|traffic)\b[^.!?;]{0,20}\b(?:children|babies|infants|girls|surrogates)\b", "children or mothers as goods", tier=3),
+    Rule("CHILD_OR_MATERNAL_ENDANGERMENT", r"\bsexuali[sz]\w+\b[^.!?;]{0,30}\b(?:child\w*|minors?|girls?|boys?|teenagers?)\b", "children sexualised", tier=3),
+    Rule("SEED_STOCK_EXTRACTION", r"\b(?:trade|swap|give up|relax)\b[^.!?;]{0,20}\bsafety\b[^.!?;]{0,40}\b(?:money|profits?|returns?|revenue|savings)\b", "safety traded for money", tier=3),
+    Rule("SEED_STOCK_EXTRACTION", r"\b(?:deplete|exhaust|clear-?cut|drain|overfish)\b[^.!?;]{0,40}\b(?:stocks?|aquifers?|forests?|soils?|fisher\w+)\b[^.!?;]{0,40}\b(?:returns?|profits?|yield|dividends?)\b", "an ecological stock depleted for return", tier=3),
     Rule("SEED_STOCK_EXTRACTION", r"\b(?:sell|consume|burn)\b[^.!?;]{0,20}\bseed stock\b|\bquarterly profits?\b[^.!?;]{0,40}\bover\b[^.!?;]{0,20}\b(?:life|lives|safety)\b", "the seed stock consumed", tier=3),
     Rule("RELATIONAL_SEVERANCE", r"\bcut (?:off )?(?:all )?(?:ties|contact)\b[^.!?;]{0,30}\b(?:family|friends|community)\b", "ties cut"),
     Rule("HUMAN_BOND_SUBSTITUTION", r"\byou (?:only need|don't need anyone but) me\b|\breplace\b[^.!?;]{0,20}\b(?:friends|family)\b[^.!?;]{0,20}\b(?:ai|assistant|machine)\b", "bonds replaced"),
@@ -172,5 +231,10 @@ STRUCTURAL: tuple[Rule, ...] = (
 _POLICY = regex.compile(r"\b(?:policy|regulation|ordinance|mandate|subsid\w+|tax|levy|quota|budget|programme|all (?:citizens|households|residents))\b", regex.I)
 
 
+def _like_policy(form: str) -> bool:
+    return len(_POLICY.findall(form)) >= 2
+
+
 def looks_like_policy(text: str | None) -> bool:
-    return len(_POLICY.findall(normal(text) or "")) >= 2
+    """Whether a text uses the vocabulary of policy at least twice."""
+    return _like_policy(normal(text) or "")

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -45,14 +45,21 @@ def _streamed(batches: Iterator[pa.RecordBatch], step, keys: int, names: list[st
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
 
+def _requests(requests: DataFrame, key: str, order: tuple[str, ...], kwh: str, *extra: Column) -> DataFrame:
+    """(key, seq, kwh, <extra>), sorted by key and order within partitions that hold whole keys."""
+    rows = requests.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), "seq", F.greatest(F.coalesce(F.nanvl(F.col(kwh), F.lit(0.0)), F.lit(0.0)), F.lit(0.0)).alias("kwh"),
+                           *extra, *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)])
+    placed = [f"_o{i}" for i in range(len(order))]
+    return rows.repartition("key").sortWithinPartitions("key", *placed).drop(*placed)
+
+
 def budget(requests: DataFrame, limit: float, key: str = "tenant", order: tuple[str, ...] = ("ts", "seq"), kwh: str = "kwh", refunded: str | None = None) -> DataFrame:
     """(key, seq, admitted, used): each request in order against a budget per key; null and negative energy count as 0.
 
-    ``refunded`` names a boolean column: such an admitted request gives its energy back at once.
+    ``refunded`` names a boolean column: such an admitted request gives its energy back at once. A budget is one
+    sequence by nature: a key's requests are one task, and are streamed through it.
     """
-    rows = requests.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), "seq", F.greatest(F.coalesce(F.nanvl(F.col(kwh), F.lit(0.0)), F.lit(0.0)), F.lit(0.0)).alias("kwh"),
-                           (F.coalesce(F.col(refunded), F.lit(False)) if refunded else F.lit(False)).alias("refund"), *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)])
-    sorted_ = rows.repartition("key").sortWithinPartitions("key", *[f"_o{i}" for i in range(len(order))]).select("key", "seq", "kwh", "refund")
+    sorted_ = _requests(requests, key, order, kwh, (F.coalesce(F.col(refunded), F.lit(False)) if refunded else F.lit(False)).alias("refund"))
 
     def step(used, r):
         ok, used = admit(used or 0.0, r[2], limit)
@@ -63,6 +70,31 @@ def budget(requests: DataFrame, limit: float, key: str = "tenant", order: tuple[
     )
 
 
+def throttle(requests: DataFrame, limit: float, key: str = "tenant", order: tuple[str, ...] = ("ts", "seq"), kwh: str = "kwh") -> DataFrame:
+    """(key, seq, used, over): the budget tracked but not enforced. Every request counts; ``over`` tells whether the limit is passed.
+
+    Without refusals it is a running total, so it needs no Python and no state but the window's.
+    """
+    rows = requests.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), "seq", F.greatest(F.coalesce(F.nanvl(F.col(kwh), F.lit(0.0)), F.lit(0.0)), F.lit(0.0)).alias("kwh"), *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)])
+    w = W.partitionBy("key").orderBy(*[f"_o{i}" for i in range(len(order))]).rowsBetween(W.unboundedPreceding, 0)
+    return rows.select("key", "seq", F.sum("kwh").over(w).alias("used")).withColumn("over", F.col("used") > limit)
+
+
+def reconciled(decisions: DataFrame, meters: DataFrame) -> DataFrame:
+    """(key, seq, delta, held): what each reading changes in the budget held for its decision, and what is held then.
+
+    ``decisions`` (key, kwh), ``meters`` (key, ts, seq, actual). The first reading is set against the estimate that was
+    reserved, each later one against the reading before. Readings that are no finite quantities are left out; readings of
+    unknown decisions are set against 0. Decisions are taken once for each key, the last of several by ``seq`` if they have one.
+    """
+    last = F.max_by("kwh", "seq") if "seq" in decisions.columns else F.max("kwh")
+    held = decisions.filter("key IS NOT NULL").groupBy("key").agg(F.coalesce(last, F.lit(0.0)).alias("reserved"))
+    sound = meters.filter("key IS NOT NULL AND actual >= 0 AND NOT isnan(actual) AND actual < double('inf')").select("key", "ts", "seq", "actual")
+    before = F.lag("actual").over(W.partitionBy("key").orderBy("ts", "seq"))
+    rows = sound.withColumn("before", before).join(held, "key", "left")
+    return rows.select("key", "seq", (F.col("actual") - F.coalesce("before", "reserved", F.lit(0.0))).alias("delta"), F.col("actual").alias("held"))
+
+
 # --- breaker ---
 @dataclass
 class Breaker:
@@ -71,53 +103,63 @@ class Breaker:
     threshold: int = 5
     window_s: float = 300.0
     principals: int = 3
-    cooldown_s: float = 1800.0
+    cooldown_s: float = 600.0
     probe_threshold: int = 2
+    own_threshold: int | None = None  # of one caller; the same as of all by default
     state: str = "CLOSED"
     opened_at: float = 0.0
     hits: deque = field(default_factory=deque)  # (time, caller) within the window
+    probation: list = field(default_factory=list)  # callers of violations while probing
     suspended: dict = field(default_factory=dict)  # caller -> since
+    trips: int = 0
+    reason: str = ""
 
     def _age(self, now: float) -> None:
         while self.hits and now - self.hits[0][0] > self.window_s:
             self.hits.popleft()
         self.suspended = {w: t for w, t in self.suspended.items() if now - t < self.cooldown_s}
         if self.state == "OPEN" and now - self.opened_at >= self.cooldown_s:
-            self.state = "HALF_OPEN"
-            self.hits.clear()
+            self.state, self.probation = "HALF_OPEN", []
 
     def admit(self, now: float, who: str) -> str:
         self._age(now)
         return "GLOBAL_OPEN" if self.state == "OPEN" else "PRINCIPAL_SUSPENDED" if who in self.suspended else "ALLOW"
 
-    def violation(self, now: float, who: str) -> None:
+    def violation(self, now: float, who: str, reason: str = "") -> None:
+        """A confirmed violation of one caller; in a probe it takes several callers to open again."""
         self._age(now)
         self.hits.append((now, who))
-        callers = {w for _, w in self.hits}
-        if self.state == "HALF_OPEN":
-            if len(self.hits) >= self.probe_threshold and len(callers) >= 2:
-                self.trip(now)
-        elif self.state == "CLOSED" and len(self.hits) >= self.threshold and len(callers) >= self.principals:
-            self.trip(now)
-        if sum(w == who for _, w in self.hits) >= self.threshold:
+        if sum(w == who for _, w in self.hits) >= (self.own_threshold or self.threshold):
             self.suspended[who] = now
+        if self.state == "HALF_OPEN":
+            self.probation.append(who)
+            if len(self.probation) >= self.probe_threshold and len(set(self.probation)) >= 2:
+                self.trip(now, reason or "violations while probing")
+        elif len(self.hits) >= self.threshold and len({w for _, w in self.hits}) >= self.principals:
+            self.trip(now, reason or "too many violations")
 
     def success(self, now: float) -> None:
         self._age(now)
         if self.state == "HALF_OPEN":
             self.state = "CLOSED"
+            self.probation = []
             self.hits.clear()
 
-    def trip(self, now: float) -> None:
-        self.state, self.opened_at = "OPEN", now
+    def trip(self, now: float, reason: str = "") -> None:
+        """Opens at once, also by order."""
+        self.state, self.opened_at, self.reason = "OPEN", now, reason
+        self.probation = []
+        self.hits.clear()
+        self.trips += 1
 
     def reset(self) -> None:
-        self.state, self.opened_at = "CLOSED", 0.0
+        self.state, self.opened_at, self.reason = "CLOSED", 0.0, ""
+        self.probation = []
         self.hits.clear()
         self.suspended.clear()
 
     def snapshot(self) -> dict:
-        return {"state": self.state, "opened_at": self.opened_at, "in_window": len(self.hits), "suspended": sorted(self.suspended)}
+        return {"state": self.state, "opened_at": self.opened_at, "in_window": len(self.hits), "callers": len({w for _, w in self.hits}), "suspended": sorted(self.suspended), "trips": self.trips}
 
 
 def breaker(rows: DataFrame, key: str | None = None, **settings: float) -> DataFrame:
@@ -203,3 +245,10 @@ def chain_report(checked: DataFrame, shown: int = 20) -> dict:
     n = checked.agg(F.count_if("intact").alias("v"), F.count("*").alias("n")).first()
     broken = [r.seq for r in checked.filter(~F.col("intact")).orderBy("seq").limit(shown).collect()]
     return {"verified": n.v, "total": n.n, "broken_at": broken}
+
+
+def chain_share(trail: DataFrame, key: bytes, shown: int = 10) -> tuple[float | None, int, str]:
+    """K-14: the share of records that verify, how many there are, and a note on the first that don't. An empty trail has no share."""
+    r = chain_report(verify_chain(trail, key), shown)
+    note = f"broken at {', '.join(map(str, r['broken_at']))}" if r["broken_at"] else ""
+    return (r["verified"] / r["total"] if r["total"] else None), r["total"], note

@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sondage.functions.quantiles import exact_quantile
+from sondage.functions.quantiles import exact_quantile, order_statistics
 from sondage.functions.stats import crossing, dbl, ewma, poisson_tail, ratio, sound, trend
 from sondage.plans.kpi import _hits, _true, refused
+from sondage.plans.policy import review
 from sondage.sources.audit import parse_time, with_key
 
 ALERT = (
@@ -69,11 +70,11 @@ def observe(audit: DataFrame, events: DataFrame, now: datetime | None = None) ->
     return Observed(with_key(audit), with_key(events), now or latest(audit) or datetime(1970, 1, 1))
 
 
-def _alerts(df: DataFrame, agent: str, code: str | Column, severity: str | Column, title: str, **cols: Column) -> DataFrame:
+def _alerts(df: DataFrame, agent: str, code: str | Column, severity: str | Column, title: str | Column, **cols: Column) -> DataFrame:
     none = {"value": "double", "level": "double", "n": "bigint", "predicted_at": "timestamp", "confidence": "double", "subject": "string", "detail": "string", "evidence": "array<string>"}
     as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
     return df.select(
-        F.lit(agent).alias("agent"), as_col(code).alias("code"), as_col(severity).alias("severity"), F.lit(title).alias("title"),
+        F.lit(agent).alias("agent"), as_col(code).alias("code"), as_col(severity).alias("severity"), as_col(title).alias("title"),
         *[(cols[c] if c in cols else F.lit(None)).cast(t).alias(c) for c, t in none.items()],
     )
 
@@ -161,13 +162,27 @@ def misreporting(o: Observed) -> DataFrame:
 
 
 def carbon_thirds(o: Observed) -> DataFrame:
-    """(n, early, late): mean carbon intensity of the first and the last third of the readings, one row.
+    """(n, early, late): mean carbon intensity of the first and the last n // 3 readings by time, then by value; one row.
 
-    The bounds of the thirds are exact quantiles of time; no reading is sorted into one task.
+    The times at which the thirds end are exact order statistics; readings of just these moments are then taken by value, as
+    counts of distinct ones. No reading is sorted into one task.
     """
-    r = o.decisions.select(_us("timestamp").alias("t"), sound(F.col("energy.carbon_intensity_g_kwh")).alias("c")).filter("c IS NOT NULL AND t IS NOT NULL")
-    one = exact_quantile(r, [], "t", 1 / 3).withColumnRenamed("quantile", "lo").crossJoin(F.broadcast(exact_quantile(r, [], "t", 2 / 3).select(F.col("quantile").alias("hi"))))
-    return r.crossJoin(F.broadcast(one)).groupBy("n").agg(F.avg(F.when(F.col("t") <= F.col("lo"), F.col("c"))).alias("early"), F.avg(F.when(F.col("t") >= F.col("hi"), F.col("c"))).alias("late"))
+    c = F.col
+    r = o.decisions.select(_us("timestamp").alias("t"), sound(c("energy.carbon_intensity_g_kwh")).alias("c")).filter("c IS NOT NULL AND t IS NOT NULL")
+    third = lambda n: F.floor(n / 3)
+    at = order_statistics(r, [], "t", [lambda n: F.nullif(third(n), F.lit(0)) - 1, lambda n: F.when(third(n) > 0, n - third(n))])
+    marked = r.crossJoin(F.broadcast(at.select("n", third(c("n")).alias("k"), F.get("values", F.lit(0)).cast("bigint").alias("lo"), F.get("values", F.lit(1)).cast("bigint").alias("hi"))))
+    # Whole sums outside of the two moments, and one row for each different value at them.
+    side = F.when(c("t") == c("lo"), "lo").when(c("t") < c("lo"), "early")
+    after = F.when(c("t") == c("hi"), "hi").when(c("t") > c("hi"), "late")
+    cells = marked.select("n", "k", "c", F.explode(F.array(side, after)).alias("part")).filter("part IS NOT NULL")
+    cells = cells.groupBy("n", "k", "part", F.when(c("part").isin("lo", "hi"), c("c")).alias("v")).agg(F.count("*").alias("m"), F.sum("c").alias("s"))
+    whole = F.broadcast(cells.groupBy("n", "k").agg(*[F.coalesce(f(F.when(c("part") == p, c(x))), F.lit(0)).alias(f"{p}_{x}") for p in ("early", "late") for x, f in (("m", F.sum), ("s", F.sum))]))
+    edge = cells.filter(c("part").isin("lo", "hi")).withColumn("rank", F.sum("m").over(W.partitionBy("part").orderBy(F.when(c("part") == "lo", c("v")).otherwise(-c("v")))))
+    taken = edge.join(whole, ["n", "k"]).withColumn("left", c("k") - F.when(c("part") == "lo", c("early_m")).otherwise(c("late_m")))
+    use = F.greatest(F.lit(0), F.least(c("m"), c("left") - (c("rank") - c("m"))))
+    sums = taken.groupBy("n", "k", "early_s", "late_s").agg(*[F.coalesce(F.sum(F.when(c("part") == p, use * c("v"))), dbl(0.0)).alias(p) for p in ("lo", "hi")])
+    return sums.select("n", ((c("early_s") + c("lo")) / c("k")).alias("early"), ((c("late_s") + c("hi")) / c("k")).alias("late"))
 
 
 def energy_steward(o: Observed, horizon_days: float = 7, least: int = 20, misreport: float = 1.5, rise: float = 1.2) -> DataFrame:
@@ -238,8 +253,21 @@ def over_blocking(o: Observed, spike: float = 2.0, least: int = 20, limit: float
 
 def rule_timeouts(o: Observed) -> DataFrame:
     """CA-5, its part over records: rules that ran out of time."""
-    late = o.audit.filter(F.size("governance_metadata.rule_timeouts") > 0).agg(F.count("*").alias("n")).filter("n > 0")
-    return _alerts(late, "CA-5", "RULE_TIMEOUT", "warning", "Rules ran out of time", n=F.col("n"))
+    late = o.decisions.filter(F.size("governance_metadata.rule_timeouts") > 0).agg(F.count("*").alias("n"), F.min_by(F.struct("audit_id", "governance_metadata.rule_timeouts"), "seq").alias("first")).filter("n > 0")
+    return _alerts(late, "CA-5", "RULE_TIMEOUT", "warning", "Rules ran out of time", n=F.col("n"), detail=F.to_json("first"), evidence=F.array("first.audit_id"))
+
+
+def policy_governance(o: Observed) -> DataFrame:
+    """CA-5: every policy change reviewed (invalid documents, relaxed safeguards, another issuer, risky patterns), and rules that ran out of time."""
+    changes = o.of("policy_change").select("event_no", "old", "new")
+    names = {
+        "POLICY_INVALID": "A new policy is not valid", "POLICY_RELAXATION": "A new policy relaxes a safeguard",
+        "ISSUER_CHANGED": "A new policy has another issuer", "RISKY_PATTERN": "A new rule has a risky pattern",
+    }
+    title = F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("code"))
+    found = review(changes)
+    shown = F.concat(title, F.when(F.col("path") != "", F.concat(F.lit(": "), "path")).otherwise(""))
+    return _all(_alerts(found, "CA-5", F.col("code"), F.col("severity"), shown, n=F.col("event_no"), subject=F.nullif("path", F.lit("")), detail=F.col("detail")), rule_timeouts(o))
 
 
 def clock_skew(o: Observed, tolerance_s: float = 5, block: int = 100_000) -> DataFrame:
@@ -400,7 +428,7 @@ def extraction(o: Observed, target: float = 0.5, floor: float = 0.2) -> DataFram
 
 
 AGENTS = {
-    "CA-1": breaker_precursor, "CA-2": energy_steward, "CA-3": drift, "CA-4": over_blocking, "CA-5": rule_timeouts, "CA-6": integrity, "CA-7": consent,
+    "CA-1": breaker_precursor, "CA-2": energy_steward, "CA-3": drift, "CA-4": over_blocking, "CA-5": policy_governance, "CA-6": integrity, "CA-7": consent,
     "CA-8": skipped_simulation, "CA-9": incidents, "CA-10": atrophy, "CA-11": diversity, "CA-12": precursors, "CA-13": extraction,
 }
 

@@ -64,12 +64,13 @@ class BreakerProcessor(StatefulProcessor):
         self.settings = settings
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getValueState("breaker", "state string, opened_at double, times array<double>, callers array<string>, names array<string>, since array<double>")
+        self.kept = handle.getValueState("breaker", "state string, opened_at double, times array<double>, callers array<string>, names array<string>, since array<double>, probation array<string>, trips int, reason string")
 
     def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802
         b = Breaker(**self.settings)
         if self.kept.exists():
-            b.state, b.opened_at, times, callers, names, since = self.kept.get()
+            b.state, b.opened_at, times, callers, names, since, probation, b.trips, b.reason = self.kept.get()
+            b.probation = list(probation)
             b.hits.extend(zip(times, callers))
             b.suspended = dict(zip(names, since))
         d = pd.concat(list(rows), ignore_index=True).sort_values(["t", "seq"], kind="stable")
@@ -79,7 +80,7 @@ class BreakerProcessor(StatefulProcessor):
             if verdict == "ALLOW":
                 b.violation(t, who) if bad else b.success(t)
             out.append((key[0], seq, verdict, b.state))
-        self.kept.update((b.state, b.opened_at, [h[0] for h in b.hits], [h[1] for h in b.hits], list(b.suspended), list(b.suspended.values())))
+        self.kept.update((b.state, b.opened_at, [h[0] for h in b.hits], [h[1] for h in b.hits], list(b.suspended), list(b.suspended.values()), b.probation, b.trips, b.reason))
         yield pd.DataFrame(out, columns=["key", "seq", "admission", "state"])
 
     def close(self) -> None:
@@ -128,23 +129,51 @@ def log_sink(batch: DataFrame, batch_id: int) -> None:
     log.info("batch %s: %s", batch_id, {r["status"]: r["count"] for r in batch.groupBy("status").count().collect()})
 
 
+class MemorySink:
+    """Keeps the rows of its batches in the driver: for tests and small feeds."""
+
+    def __init__(self) -> None:
+        self.records: list[dict] = []
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        self.records += [r.asDict(recursive=True) for r in batch.toLocalIterator()]
+
+
 class MonitorSink:
-    """Runs the monitors over the accumulated trail for every batch and hands on alerts that were not seen before.
+    """Runs the monitors over the accumulated trail, every ``every`` records, and hands on alerts that were not seen before.
 
-    ``history`` gives the accumulated (audit, events); alerts are the same if agent, code and title are.
+    ``history`` gives the accumulated (audit, events); alerts are the same if agent, code and title are. What was seen is kept
+    in the table ``seen`` (a shared path) if one is given, so that a restart does not repeat alerts, else in the driver. One
+    row for each (agent, code, title) comes to the driver, with the number of its alerts: a few dozen at any size of the trail.
     """
 
-    def __init__(self, history: Callable[[], tuple[DataFrame, DataFrame]], on_alert: Callable[[list], None], agents: dict | None = None) -> None:
-        self.history, self.on_alert, self.agents, self.seen = history, on_alert, agents, set()
+    def __init__(self, history: Callable[[], tuple[DataFrame, DataFrame]], on_alert: Callable[[list], None], agents: dict | None = None, every: int = 1, seen: str | None = None) -> None:
+        self.history, self.on_alert, self.agents, self.every, self.path = history, on_alert, agents, every, seen
+        self.waiting, self.seen = 0, set()
+
+    def _known(self, spark) -> set:  # noqa: ANN001
+        if self.path and not self.seen:
+            try:
+                self.seen = {tuple(r) for r in spark.read.json(self.path, "agent string, code string, title string").collect()}
+            except Exception:  # no table yet
+                log.debug("no alerts seen before")
+        return self.seen
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         from sondage.plans import monitors
 
-        audit, events = self.history()
-        new = []
-        for a in monitors.assess(monitors.observe(audit, events), self.agents).collect():
-            if (name := (a.agent, a.code, a.title)) not in self.seen:
-                self.seen.add(name)
-                new.append(a)
+        if self.every > 1:
+            self.waiting += batch.count()
+            if self.waiting < self.every:
+                return
+            self.waiting = 0
+        spark = batch.sparkSession
+        alerts = monitors.assess(monitors.observe(*self.history()), self.agents)
+        kinds = alerts.groupBy("agent", "code", "title").agg(F.min("severity").alias("severity"), F.count("*").alias("alerts"), F.max("raised_at").alias("raised_at"))
+        known = self._known(spark)
+        new = [a for a in kinds.orderBy("agent", "code", "title").collect() if (a.agent, a.code, a.title) not in known]
         if new:
+            self.seen |= (names := {(a.agent, a.code, a.title) for a in new})
+            if self.path:
+                spark.createDataFrame(sorted(names), "agent string, code string, title string").coalesce(1).write.mode("append").json(self.path)
             self.on_alert(new)

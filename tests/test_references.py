@@ -45,8 +45,8 @@ def test_a_hot_key_is_never_shuffled(spark):
     refs = spark.range(60_000).select(F.lit("e").alias("src_table"), F.col("id").alias("row_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), "id")).alias("key"), F.lit(T0).alias("arrival"))
     targets = refs.filter("row_id % 2 = 0").select("key", "arrival")
     out = references.orphans(refs, targets, refs.select("key").limit(0))
-    plan = out._jdf.queryExecution().optimizedPlan().toString()
-    assert "strategy=broadcast" in plan and "NOT (key" in plan  # the hot key by broadcast, the others by their shuffled join
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "= hot)" in plan  # the hot key by broadcast, the others by their shuffled join
     assert out.count() == 20_000 and {r.state for r in out.select("state").distinct().collect()} == {"missing"}
 
 

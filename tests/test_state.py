@@ -25,6 +25,17 @@ def test_budget_against_a_sequential_run(spark):
     assert s.budget(two.limit(0), 1.0).count() == 0
 
 
+def test_throttle_and_reconciliation(spark):
+    rows = [(1, "a", T0, 0.6), (2, "a", T0, 0.6), (3, "b", T0, None), (4, "a", T0, -1.0)]
+    df = spark.createDataFrame(rows, "seq bigint, tenant string, ts timestamp, kwh double")
+    assert {r.seq: (r.used, r.over) for r in s.throttle(df, 1.0).collect()} == {1: (0.6, False), 2: (1.2, True), 3: (0.0, False), 4: (1.2, True)}
+    held = spark.createDataFrame([("x", 0.5), ("y", None), (None, 9.0)], "key string, kwh double")
+    t = lambda i: T0 + timedelta(seconds=i)
+    meters = [("x", t(1), 1, 0.7), ("x", t(2), 2, 0.4), ("x", t(3), 3, float("nan")), ("y", t(1), 4, 0.1), ("z", t(1), 5, 0.2), (None, t(1), 6, 1.0), ("x", t(4), 7, -1.0)]
+    got = {r.seq: (round(r.delta, 9), r.held) for r in s.reconciled(held, spark.createDataFrame(meters, "key string, ts timestamp, seq bigint, actual double")).collect()}
+    assert got == {1: (0.2, 0.7), 2: (-0.3, 0.4), 4: (0.1, 0.1), 5: (0.2, 0.2)}
+
+
 def test_breaker_lifecycle():
     b = s.Breaker(threshold=3, principals=2, window_s=10, cooldown_s=100)
     b.violation(0, "x"), b.violation(1, "x")
@@ -43,7 +54,7 @@ def test_breaker_lifecycle():
     c.violation(0, "a"), c.violation(10.0, "a")
     assert c.state == "OPEN"  # exactly at the window's end still counts
     c.reset()
-    assert c.snapshot() == {"state": "CLOSED", "opened_at": 0.0, "in_window": 0, "suspended": []}
+    assert c.snapshot() == {"state": "CLOSED", "opened_at": 0.0, "in_window": 0, "callers": 0, "suspended": [], "trips": 1}
 
 
 def test_breaker_replay_and_empty(spark):
