@@ -23,30 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sondage.functions.confusables import CLASS, FOLDED, MEMBER, VARIANT
 from sondage.session import cut_lineage
 
-# Latin letters and the letters of other scripts drawn the same way, script by script.
-LIKE = {
-    "Cyrillic": "aа cс eе hһ iі jј lӏ oо pр sѕ vѵ xх yу dԁ qԛ wԝ AА BВ CС EЕ HН IІ JЈ KК MМ OО PР SЅ TТ XХ YУ GԌ QԚ WԜ VѴ",
-    "Greek": "aα iι oο pρ vν uυ yγ jϳ AΑ BΒ EΕ ZΖ HΗ IΙ KΚ MΜ NΝ OΟ PΡ TΤ YΥ XΧ",
-    "Armenian": "oօ nո uս hհ gց qզ OՕ SՏ LԼ UՍ",
-    "Cherokee": "AᎪ BᏴ CᏟ DᎠ EᎬ GᏀ HᎻ JᎫ KᏦ LᏞ MᎷ PᏢ RᏒ SᏚ TᎢ VᏙ WᎳ YᎩ ZᏃ",
-}
-# Variants within a script, which no compatibility rule covers, and their plain letter.
-VARIANT = {"ɑ": "a", "ɡ": "g", "ℓ": "l", "‐": "-", "‑": "-", "⁃": "-", "ꞌ": "'", "ǃ": "!", "ⲟ": "o", "ⲣ": "p", "ꓳ": "O"}
 #: Where the intersection leaves a choice that the text can't settle, the first of these.
-ORDER = ("Latin", "Cyrillic", "Greek", "Armenian", "Cherokee")
+ORDER = ("Latin", "Cyrillic", "Greek", "Armenian", "Cherokee", "Coptic", "Lisu")
 #: Compatibility forms that look like what they decompose to. Others (superscripts, circles, fractions) don't.
 ALIKE_FORMS = {"<wide>", "<narrow>", "<noBreak>", "<compat>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>"}
 
-#: letter -> class (its Latin member), and class -> {script: member}
-CLASS: dict[str, str] = {}
-MEMBER: dict[str, dict[str, str]] = {}
-for _script, _pairs in LIKE.items():
-    for _latin, _other in _pairs.split():
-        CLASS[_latin], CLASS[_other] = _latin, _latin
-        MEMBER.setdefault(_latin, {"Latin": _latin})[_script] = _other
-
 _JOINERS = "‌‍"
 _TOKEN = re.compile(r"[^\W\d_]+(?:[̀-ͯ][^\W\d_]*)*")
 
@@ -59,6 +43,8 @@ class _Forms(dict):
         kind = unicodedata.category(ch)
         if ch in VARIANT:
             out = VARIANT[ch]
+        elif ch in CLASS:
+            out = ch
         elif kind == "Zs":
             out = " "
         elif kind == "Cf" and ch not in _JOINERS or 0xFE00 <= code <= 0xFE0F or 0xE0100 <= code <= 0xE01EF or code in (0x034F, 0x115F, 0x1160, 0x3164, 0xFFA0):
@@ -97,11 +83,14 @@ def resolved(token: str) -> frozenset[str]:
 
 
 def _spelt(token: str, to: str | None) -> str:
-    """The token in script ``to``; without one, each letter in the first script of its class."""
+    """The token in script ``to``; without one, each letter in the first script of its class. Letters of ``to`` itself stay."""
     out = []
     for ch in token:
         members = MEMBER.get(CLASS.get(ch, ""))
-        out.append(ch if members is None else members.get(to or "", "") or members["Latin"])
+        if members is None or script(ch) == to:
+            out.append(ch)
+        else:
+            out.append(members.get(to or "", "") or members["Latin"])
     return "".join(out)
 
 
@@ -165,12 +154,28 @@ def normalize(df: DataFrame, column: str, into: str = "consistent") -> DataFrame
     return df.withColumn(into, form(F.col(column)))
 
 
-def look_alikes(df: DataFrame, row_id: str, column: str) -> DataFrame:
-    """Pairs (id_a, id_b), id_a < id_b, of rows whose texts look the same but differ in a character.
+def skeleton(token: str) -> str:
+    """A token so that all that look like it, and its other letter cases, get the same; from its own letters alone.
 
-    Spellings are made distinct first, so copies of one text are carried as one row; spellings of one form are
-    joined with each other by the form's digest, and only then are their rows looked up. Null texts are in no pair.
+    A token that Latin can spell is spelt so and put into small letters; any other is put into small letters in its
+    own script, and then each of its letters becomes the one that it or its capital looks like.
     """
+    if token.isascii():
+        return token.lower()
+    plain = unicodedata.normalize("NFD", token)
+    if "Latin" in resolved(plain):
+        plain = _spelt(plain, "Latin").casefold()
+    else:
+        plain = plain.casefold().translate(FOLDED)
+    return unicodedata.normalize("NFC", plain)
+
+
+#: Rows of one spelling, and spellings of one form, that a task takes at once.
+SLICE = 10_000
+
+
+def _spellings(df: DataFrame, row_id: str, column: str) -> DataFrame:
+    """(row_id, spelling, form): digests of each text as it is written and in its one form; null texts have none."""
 
     def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -184,10 +189,42 @@ def look_alikes(df: DataFrame, row_id: str, column: str) -> DataFrame:
             )
 
     rows = df.select(F.col(row_id).cast("bigint").alias("row_id"), F.col(column).alias("t")).filter("t IS NOT NULL")
-    rows = cut_lineage(rows.mapInArrow(forms, "row_id bigint, spelling binary, form binary"))  # read three times below
-    spellings = rows.groupBy("form", "spelling").agg(F.count("*").alias("n"))
-    several = spellings.groupBy("form").agg(F.count("*").alias("n")).filter("n > 1").select("form")
-    rows = rows.join(several, "form", "left_semi").select("form", "row_id", "spelling")
-    a, b = rows.toDF("form", "a", "spelling_a"), rows.toDF("form", "b", "spelling_b")
-    pairs = a.join(b, "form").filter("spelling_a <> spelling_b AND a < b")
-    return pairs.select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
+    return cut_lineage(rows.mapInArrow(forms, "row_id bigint, spelling binary, form binary"))  # read more than once
+
+
+def classes(df: DataFrame, row_id: str, column: str) -> DataFrame:
+    """(row_id, class_id, spelling_id, spellings): the rows whose texts have look-alikes of another spelling.
+
+    class_id is the smallest row of the same form, spelling_id the smallest of exactly the same text; spellings is how many
+    the class has. A row each, however many copies there are. Null texts are in no class.
+    """
+    rows = _spellings(df, row_id, column)
+    # Copies are counted on the map side, so a text with very many of them sends a row per task.
+    own = rows.groupBy("form", "spelling").agg(F.min("row_id").alias("spelling_id"))
+    several = own.groupBy("form").agg(F.min("spelling_id").alias("class_id"), F.count("*").alias("spellings")).filter("spellings > 1")
+    known = own.join(several, "form").select("spelling", "form", "class_id", "spelling_id", "spellings")
+    return rows.join(known, ["spelling", "form"]).select("row_id", "class_id", "spelling_id", "spellings")
+
+
+def look_alikes(df: DataFrame, row_id: str, column: str, slice_rows: int = SLICE) -> DataFrame:
+    """Pairs (id_a, id_b), id_a < id_b, of rows whose texts look the same but differ in a character.
+
+    Different spellings of a form are paired first; copies of one text never meet each other. Only then do spellings find
+    their rows. A spelling with many rows is cut into slices by row, and a form with many spellings into slices by spelling, so no
+    key is one task. Null texts are in no pair.
+    """
+    c = F.col
+    rows = _spellings(df, row_id, column)
+    counts = rows.groupBy("form", "spelling").agg(F.count("*").alias("n"))
+    several = counts.groupBy("form").agg(F.count("*").alias("m")).filter("m > 1")
+    slices = lambda n: F.ceil(n / F.lit(slice_rows)).cast("int")
+    kinds = cut_lineage(counts.join(several, "form"))  # a row for each spelling that has another one beside it
+    left = kinds.select("form", c("spelling").alias("sa"), slices(c("n")).alias("na"), F.pmod(F.xxhash64("spelling"), slices(c("m"))).cast("int").alias("part"))
+    right = kinds.select("form", c("spelling").alias("sb"), slices(c("n")).alias("nb"), F.explode(F.sequence(F.lit(0), slices(c("m")) - 1)).alias("part"))
+    meet = left.join(right, ["form", "part"]).filter("sa < sb")
+    meet = meet.withColumn("ka", F.explode(F.sequence(F.lit(0), c("na") - 1))).withColumn("kb", F.explode(F.sequence(F.lit(0), c("nb") - 1)))
+    # Each row of a spelling lies in one of its slices.
+    placed = rows.join(kinds.select("spelling", slices(c("n")).alias("k")), "spelling").select("spelling", "row_id", F.pmod(F.xxhash64("row_id"), c("k")).cast("int").alias("k"))
+    a, b = placed.toDF("sa", "a", "ka"), placed.toDF("sb", "b", "kb")
+    pairs = meet.join(a, ["sa", "ka"]).join(b, ["sb", "kb"])
+    return pairs.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))

@@ -5,9 +5,8 @@ patterns are counted; and the distinct count of any group or combination of grou
 that touch it. The stated error bound is zero. Partial results are the identifiers' cell sets of any slice of the
 data; merging them is set union, so slices can be added, in any order and more than once.
 
-The few identifiers with the most cells would make long patterns; they are left as rows (identifier, cell), a
-bounded number of identifiers, and counted beside the patterns. No other identifier can hold more than
-1 / WIDE_MOST of all cells.
+A pattern is one row, so its length is bounded: identifiers in more cells than WIDE stay out of the patterns as rows
+(identifier, cell), however many there are, and are counted exactly beside them by distinct shuffles.
 """
 
 from __future__ import annotations
@@ -19,9 +18,8 @@ from pyspark.sql import functions as F
 
 from sondage.session import cut_lineage
 
-#: At most so many identifiers stay out of the patterns, and only if they are in more cells than WIDE_LEAST.
-WIDE_MOST = 1_000
-WIDE_LEAST = 10_000
+#: Cells of the longest pattern.
+WIDE = 10_000
 
 
 #: Between the values of a group's key, for a null among them, and before either or itself within a value.
@@ -61,22 +59,19 @@ def merge(*partials: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def patterns(cells: DataFrame, *, most: int = WIDE_MOST, least: int = WIDE_LEAST) -> DataFrame:
-    """(pattern, identifiers): the cell sets that occur and the number of identifiers that have each.
+def patterns(cells: DataFrame, *, wide: int = WIDE) -> DataFrame:
+    """(pattern, identifiers, wide): the cell sets that occur and the number of identifiers that have each.
 
-    Wide identifiers, at most ``most``, come as patterns of one cell with their name in ``wide``, null for all
-    others; :func:`distinct_counts` puts them together again.
+    Identifiers in more than ``wide`` cells come as patterns of one cell with their name in ``wide``, null for all
+    others; :func:`distinct_counts` puts them together again. How many identifiers are wide has no bound.
     """
-    counts = cells.groupBy("identifier").agg(F.count("*").alias("n")).filter(F.col("n") > least)
-    wide = [r.identifier for r in counts.orderBy(F.desc("n"), "identifier").limit(most).collect()]
-    narrow = cells
-    if wide:
-        few = F.broadcast(cells.sparkSession.createDataFrame([(w,) for w in wide], f"identifier {cells.schema['identifier'].dataType.simpleString()}"))
-        narrow, rows = cells.join(few, "identifier", "left_anti"), cells.join(few, "identifier", "left_semi")
+    counts = cells.groupBy("identifier").agg(F.count("*").alias("n")).filter(F.col("n") > wide).select("identifier")
+    many = cut_lineage(counts)  # most often none
+    narrow = cells.join(many, "identifier", "left_anti")
     sets = narrow.groupBy("identifier").agg(F.array_sort(F.collect_set("cell")).alias("pattern"))
     out = sets.groupBy("pattern").agg(F.count("*").alias("identifiers")).withColumn("wide", F.lit(None).cast("string"))
-    if wide:
-        out = out.unionByName(rows.select(F.array("cell").alias("pattern"), F.lit(1).cast("bigint").alias("identifiers"), F.col("identifier").cast("string").alias("wide")))
+    rows = cells.join(many, "identifier", "left_semi")
+    out = out.unionByName(rows.select(F.array("cell").alias("pattern"), F.lit(1).cast("bigint").alias("identifiers"), F.col("identifier").cast("string").alias("wide")))
     return cut_lineage(out)
 
 

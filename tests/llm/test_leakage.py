@@ -1,9 +1,11 @@
 import random
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sondage.llm import leakage
-from sondage.llm.words import words
+from sondage.llm.words import located, words
 
 
 def test_words():
@@ -58,6 +60,32 @@ def test_empty_tables(spark):
     assert leakage.without_leaks(docs, leakage.leaks(docs, items)).count() == 0
 
 
+def test_layout_and_script_make_no_difference():
+    item = "Мама мыла раму а оса ела сахар у норы кота"
+    g = leakage.grams([(1, item)])
+    for sep in (" ", "\n", "\n\n", " \r\n", " <br> "):
+        assert leakage.matched_words(g, "An English text about " + item.replace(" ", sep) + " and more.") == {1: 10}, sep
+    assert leakage.matched_words(g, item.upper().replace("\n", " ")) == {1: 10}
+    assert leakage.matched_words(g, item.replace("о", "o").replace("а", "a")) == {1: 10}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab С&;<>/*_~`-\n[]()#x2é́бｂ­​", max_size=40))
+def test_located_words_are_the_words(text):
+    own, places = located(text)
+    assert own == words(text) and all(0 <= a < b <= len(text) for a, b in places) and places == sorted(places)
+
+
+def test_spans_are_cut_out(spark):
+    items = spark.createDataFrame([(1, "one two three four five six"), (2, "seven eight nine ten eleven"), (3, None)], "item_id bigint, text string")
+    docs = [(1, "Keep <b>this</b>. One, *two* thr&#101;e\nfour-five six! And this, seven eight nine."), (2, None), (3, ""), (4, "x one two three four y"), (5, "Ｓeven eight\n> nine ten eleven, one two three four five")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("removed", F.lit("x"))
+    for bound in (10**6, 0):
+        got = {r.doc_id: (r.text, r.removed) for r in leakage.without_spans(df, items, broadcast_grams=bound).collect()}
+        assert got == {1: ("Keep <b>this</b>. ! And this, seven eight nine.", 35), 2: (None, 0), 3: ("", 0), 4: (docs[3][1], 0), 5: ("", 54)}, bound
+        assert leakage.without_spans(df.limit(0), items, broadcast_grams=bound).count() == 0
+
+
 def test_spans():
     g = leakage.grams([(1, "one two three four five six")])
     assert leakage.spans(g, "x one two three four five six y") == [(1, 7)] and leakage.spans(g, "nothing here") == []

@@ -20,6 +20,12 @@ SAME = [
     ("क़दम", "क़दम"),
     ("ɑnd ɡo", "and go"),
 ]
+# Public look-alikes besides those of the tables above, in words of Latin letters.
+SAME += [(x.split("=")[0], x.split("=")[1]) for x in "yөga=yөga ү=y Ү=Y Ӏ=I ϲat=cat Ϲat=Cat kıte=kite ꓐig=Big ꓓay=Day ꮪun=sun ꮯat=cat 5−3=5-3 ᴏᴡʟ=owʟ ᴄᴏᴢy=cozy ꓣun=Run ꓢꓴN=SUN ԛuiz=quiz ѵan=van Ⲥat=Cat ⲥat=cat ᏏᏏ=bb օpen=open զuiz=quiz".split()]
+HONEST = [
+    "ⲡⲛⲟⲩⲧⲉ ⲡⲉⲧⲟⲩⲁⲁⲃ ⲁⲩⲱ ⲛⲉϥⲁⲅⲅⲉⲗⲟⲥ", "ꓡꓲꓢꓴ ꓐꓯꓹ ꓠꓬꓲꓹ ꓫꓵꓽ ꓟꓳ ꓗꓪ", "Мама мыла раму, а оса жужжала", "Хотын гудамжинд үүр өглөөний нар мандав", "Ἐν ἀρχῇ ἦν ὁ λόγος", "Η Ελλάδα είναι μια χώρα", "Ամեն մարդ ծնվում է ազատ", "ᏣᎳᎩ ᎦᏬᏂᎯᏍᏗ", "Kız sınıfta sırayla şarkı söyledi",
+    "בראשית ברא אלהים", "الناس سواسية", "人人生而自由", "सभी मनुष्य जन्म से स्वतंत्र हैं", "ମଣିଷ ଜନ୍ମରୁ ସ୍ୱାଧୀନ",
+]
 DIFFERENT = [("We", "we"), ("e", "é"), ("1", "l"), ("O", "0"), ("a.", "a!"), ("x²", "x2"), ("a b", "b a"), ("½", "1/2"), ("I", "l"), ("rn", "m"), ("Ⓐ", "A")]
 
 
@@ -33,6 +39,24 @@ def test_different(a, b):
     assert lk.consistent(a) != lk.consistent(b)
 
 
+@pytest.mark.parametrize("text", HONEST)
+def test_honest_text_stays(text):
+    plain = unicodedata.normalize("NFC", text)
+    assert lk.consistent(text) == plain.replace("ı", "i")  # a dotless i is the one letter that looks like another of its own script
+
+
+def test_many_public_confusables():
+    pairs = [(latin, other) for latin, members in lk.MEMBER.items() for other in members.values() if other != latin]
+    pairs += [(latin, ch) for ch, latin in lk.CLASS.items() if ch != latin] + [(latin, ch) for ch, latin in lk.VARIANT.items()]
+    fonts = [(latin, chr(c)) for c in (*range(0xFF21, 0xFF5B), *range(0x1D400, 0x1D6A4)) if len(latin := unicodedata.normalize("NFKC", chr(c))) == 1 and latin.isascii() and latin.isalpha() and unicodedata.category(chr(c))[0] == "L"]
+    assert len(set(pairs + fonts)) > 600
+    for latin, other in pairs + fonts:
+        if latin.isalpha():
+            assert lk.consistent(f"zz{other}qf") == f"zz{latin}qf", (latin, other)
+        else:
+            assert lk.consistent(other) == latin
+
+
 def test_text_of_another_script_stays_in_it():
     russian = "Мама мыла раму, а оса жужжала"
     assert lk.consistent(russian) == russian
@@ -62,4 +86,19 @@ def test_pairs_against_brute_force(spark):
     got = {tuple(r) for r in lk.look_alikes(spark.createDataFrame(rows, "item_id bigint, text string").withColumn("form", F.lit(1)), "item_id", "text").collect()}
     want = {(i, j) for i, a in rows for j, b in rows if i < j and a is not None and b is not None and a != b and lk.consistent(a) == lk.consistent(b)}
     assert got == want and want
+    small = {tuple(r) for r in lk.look_alikes(spark.createDataFrame(rows, "item_id bigint, text string"), "item_id", "text", slice_rows=1).collect()}
+    assert small == want  # every key cut into slices
     assert lk.look_alikes(spark.createDataFrame([], "item_id bigint, text string"), "item_id", "text").count() == 0
+    member = {r.row_id: (r.class_id, r.spelling_id) for r in lk.classes(spark.createDataFrame(rows, "item_id bigint, text string"), "item_id", "text").collect()}
+    assert {(i, j) for i in member for j in member if i < j and member[i][0] == member[j][0] and member[i][1] != member[j][1]} == want
+
+
+def test_a_hot_text_is_paired_in_linear_time(spark):
+    df = spark.range(200_000).select(F.col("id").alias("item_id"), F.when(F.col("id") == 7, F.lit("оne text")).otherwise("one text").alias("text"))
+    pairs = lk.look_alikes(df, "item_id", "text")
+    assert pairs.count() == 199_999 and pairs.filter("id_a = 7 OR id_b = 7").count() == 199_999
+
+
+def test_skeletons_need_no_context():
+    assert lk.skeleton("оса") == lk.skeleton("OCA") == "oca" and lk.skeleton("ВОДА") == lk.skeleton("вода") and lk.skeleton("ΝΕΟΣ") == lk.skeleton("νεοσ")
+    assert lk.skeleton("жаба") != lk.skeleton("жабо") and lk.skeleton("résumé") != lk.skeleton("resume") and lk.skeleton("ſcаn") == lk.skeleton("ſcan")

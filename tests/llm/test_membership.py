@@ -39,8 +39,8 @@ def counts(totals):
 def test_exact_for_every_grouping_with_and_without_wide_identifiers(spark):
     data = rows(1) + [("hot", i % 50, f"t{i}", "x") for i in range(300)]
     cells = part(frame(spark, data))
-    for least in (10_000, 100, 1):
-        assert counts(m.patterns(cells, most=3, least=least)) == brute(data)
+    for wide in (10_000, 100, 1):  # none, one, and all identifiers are wide
+        assert counts(m.patterns(cells, wide=wide)) == brute(data)
 
 
 def test_partials_merge_in_any_order_and_overlap(spark):
@@ -54,8 +54,8 @@ def test_any_and_all(spark):
     data = rows(4) + [("hot", i % 50, f"t{i}", "x") for i in range(300)]
     cells = part(frame(spark, data))
     of = lambda f: {p for p, d, t, x in data if p is not None and f(d, t, x)}
-    for least in (10_000, 100):
-        totals = m.patterns(cells, most=3, least=least)
+    for wide in (10_000, 100, 2):
+        totals = m.patterns(cells, wide=wide)
         union = m.count_any(totals, lambda c: c["day"].isin("1", "2") | (c["label"] == "y")).first()[0]
         assert union == len(of(lambda d, t, x: d in (1, 2) or x == "y"))
         both = m.count_all(totals, [lambda c: c["day"] == "1", lambda c: c["label"] == "z"]).first()[0]

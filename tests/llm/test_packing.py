@@ -24,16 +24,15 @@ def check(sizes, capacity, got):
 
 
 def pack(spark, sizes, capacities):
-    items = spark.createDataFrame(sizes, "item_id bigint, size int")
-    bins = spark.createDataFrame(list(enumerate(capacities)), "bin_type bigint, capacity int")
+    items = spark.createDataFrame(sizes, "item_id bigint, size bigint")
+    bins = spark.createDataFrame(list(enumerate(capacities)), "bin_type bigint, capacity bigint")
     out = defaultdict(list)
     for r in packing.pack(items, bins).collect():
         out[capacities[r.bin_type]].append((r.item_id, r.piece_no, r["size"], r.container_no))
     return out
 
 
-def test_valid_and_close_to_the_bound(spark, monkeypatch):
-    monkeypatch.setattr(packing, "SLICE", 20)  # several slices of a size
+def test_valid_and_close_to_the_bound(spark):
     rng = random.Random(2)
     sizes = [(i, int(rng.choice([rng.random() * 50, 10 + rng.random() * 200, rng.random() * 700]))) for i in range(3000)]
     for capacity, got in pack(spark, sizes, [64, 256, 1000]).items():
@@ -61,6 +60,8 @@ def test_plan_is_whole_for_any_histogram():
             assert sum(s * k for s, k in combo.items()) <= capacity
             placed.update({s: k * n for s, k in combo.items()})
         assert placed == Counter(counts) and len(p.first) < 200
+        few = packing.plan(counts, capacity, triples=0)  # without triples all the same
+        assert sum(s * k * n for n, c in zip(few.repeat, few.sizes) for s, k in c.items()) == sum(s * n for s, n in counts.items())
 
 
 def test_edges(spark):
@@ -73,8 +74,31 @@ def test_edges(spark):
     for r in packing.pack(items, bins).collect():
         fill[r.container_no] += r["size"]
     assert max(fill.values()) <= 10
-    with pytest.raises(ValueError):
-        packing.pack(items, spark.createDataFrame([(1, 10**8)], "bin_type bigint, capacity int"))
+
+
+def test_any_number_of_containers_of_any_capacity(spark):
+    items = spark.createDataFrame([(i, 7 * i % 40) for i in range(50)], "item_id bigint, size int")
+    bins = spark.range(1500).select(F.col("id").alias("bin_type"), (F.col("id") % 37 + 3).alias("capacity"))
+    got = packing.pack(items, bins).groupBy("bin_type").agg(F.count_distinct("item_id").alias("n"), F.sum("size").alias("s"))
+    assert {(r.n, r.s) for r in got.collect()} == {(50, sum(7 * i % 40 for i in range(50)))} and got.count() == 1500
+    rng = random.Random(6)
+    big = [(i, int(rng.random() ** 2 * 9_000_000_000)) for i in range(400)]
+    for c, got in pack(spark, [(i, s) for i, s in big], [3_000_000, 5_000_000_000]).items():
+        check(big, c, got)
+
+
+def test_hot_size_in_slices(spark):
+    sizes = [(i, 3 if i % 3 else 1 + i % 9) for i in range(3000)]
+    items = spark.createDataFrame(sizes, "item_id bigint, size int")
+    bins = spark.createDataFrame([(0, 10), (1, 4)], "bin_type bigint, capacity int")
+    for shares in (1, 7, 100_000):
+        out = defaultdict(list)
+        for r in packing.pack(items, bins, shares=shares).collect():
+            out[r.bin_type].append((r.item_id, r.piece_no, r["size"], r.container_no))
+        for b, capacity in ((0, 10), (1, 4)):
+            check(sizes, capacity, out[b])
+    f = {r.bin_type: r for r in packing.filling(packing.pack(items, bins), bins).collect()}
+    assert f[0].containers >= f[0].least and f[0].wasted == f[0].containers * 10 - sum(s for _, s in sizes) and f[0].filled > 0.97
 
 
 @pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="no tokenizer files")
