@@ -1,22 +1,24 @@
 """Keyword-stuffed and link-list pages.
 
-Method: a suffix automaton over each page's words gives, for every place, the longest stretch ending there that
-occurs again in the page; the characters under such repeated maximal stretches are the page's coverage. The page
-is also cut into segments, and a segment without clause structure (no sentence of ordinary length that ends
-like one) counts as stuffing if repeats cover it, if links or tags make it up, or if it piles up many words.
-Rows of figures, headings and short lists are neither. A page is found if stuffing is more than half of it.
+Method: the suffixes of each page's words, ordered with the lengths they share, give what the states of the page's suffix
+automaton hold: for every place the longest stretch that occurs again in the page. The characters under such repeated
+maximal stretches are the page's coverage. The page is also cut into segments, and a segment without clause structure
+counts as stuffing if repeats cover it, if links or tags make it up, or if it piles up many words that nothing
+holds together. Rows of figures, headings and short lists are neither. A page is found if stuffing is more than half of it.
+
+Clause structure is measured without any list of words, so in any language: by length, by an end mark and a beginning that
+is not small, by different words, and by short words that the page itself uses again and again, as languages use
+their particles.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
-from collections import Counter
-from collections.abc import Iterator
-from itertools import accumulate
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,33 +32,29 @@ STRETCH = 2
 #: Above this share of repeats, words that stand outside of clauses are stuffing; above the second one, varied
 #: words are asked of sentences too.
 REPEATED, ROUND = 0.5, 0.8
-#: Words of a clause: at least, and at most before its end must come. A pile: words without any clause.
-CLAUSE_LEAST, CLAUSE_MOST, PILE = 4, 60, 12
-#: Share of function words in prose without punctuation, and in a sentence; share of different ones among the other words.
-BOUND, LOOSE, VARIED = 0.13, 0.1, 0.8
-
-# Common function words, language by language.
-FUNCTION_WORDS = frozenset(
-    """
-    a an and are as at be been before but by can cannot could did do every from had has have he her his if in into is it its may might must
-    no not of on one or our over said she should since so some than that the their them then there these they this to until was we were
-    what when where whether which while who will with would you
-    au aux avec ce cette d dans de des doit du elle en entre est et faut il ils l la le les leur lorsque mais n ne on ont ou par pas pour qu que
-    qui s sans se selon ses son sont sur un une à a été
-    al ante con cuando del desde el ella entre era es esta está fue hasta la las lo los más muy nadie no para pero por porque que se según si
-    sin sobre su sus una unas uno y ya
-    au baada bila cha hadi hata huko je kabla kama kati katika kila kuhusu kuwa kwa la lakini na ni vya wa wakati wala ya za
-    """.split()
-)
-
+#: Words of a clause: at least, and at most before its end must come. Words without any clause: a pile that nothing separates,
+#: and one that is separated or repeated.
+CLAUSE_LEAST, CLAUSE_MOST, PILE, LIST = 4, 60, 44, 12
+#: A particle: a word of at most so many letters that makes up at least one in so many words of its page, and occurs twice.
+PARTICLE, OFTEN = 4, 150
+#: Share of particles in prose without punctuation, and in a sentence; share of different ones among the other words, and among all
+#: words of a repeated sentence.
+BOUND, LOOSE, VARIED, TURNING = 0.13, 0.1, 0.8, 0.7
+
+# Scripts that put no spaces between words: each letter is taken for a word.
+_SOLID = "฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿"
+# Vowel signs and other marks belong to the words of Indic, Arabic and Hebrew script; the Indic full stop does not.
+_WORD = re.compile(rf"[{_SOLID}]|(?:[^\W_{_SOLID}]|[̀-֑ͯ-ׇً-ٰٟ]|(?![।॥])[ऀ-෿])+")
 _LINK = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]|]+", re.I)
 _ANCHOR = re.compile(r"<a\s[^<>]*>.*?</a>|\[[^\[\]\n]*\]\([^()\s]*\)", re.I | re.S)
-_BREAK = re.compile(r"<br\s*/?>", re.I)
+_MARKUP = re.compile(r"</?[a-z][^<>]*>", re.I)
 _TAG = re.compile(r"#[^\W_][\w'’-]*")
-_WORD = re.compile(r"[^\W_]+")
-_END = re.compile(r"[.!?…।]+[\"'”’»)\]*_]*(?=$|\s|[,;}\]]|\\)")
+_END = re.compile(r"[.!?…।॥؟۔።]+[\"'”’»)\]*_]*(?=$|\s|[,;}\]]|\\)|[。！？!?｡]+[」』”’）)]*(?=[^\x00-˿])")
 _QUOTE = re.compile(r"^(?:\s*>)+\s?", re.M)
-_SEPARATOR = re.compile(r"\s[|•·/–—;»-]\s")
+_SEPARATOR = re.compile(r"\s[|•·/–—;»-]\s|[,;|•·]\s?|\n")
+_CUT = re.compile(
+    r"\n(?=\s*\n)|\n(?=\s*(?:[#>»*•·–—|-]|\d+[.)]\s|<a\s|\[|https?:|www\.))|(?<=\|)[^\S\n]*\n|\n(?=[^\n]*\|)|\n(?=\s*[\"{}\[\]])"
+)
 
 
 class Page(NamedTuple):
@@ -68,202 +66,272 @@ class Page(NamedTuple):
     stuffing: int
 
 
-def repeats(tokens: list[str], least: int = STRETCH) -> bytearray:
-    """For each token 1 if it stands in a stretch of ``least`` tokens or more that occurs again, by a suffix automaton.
+def longest(ids: np.ndarray) -> np.ndarray:
+    """For each place of a row of numbers the length of the longest stretch starting there that also starts elsewhere.
 
-    A stretch of two or more is made of pairs that occur again, so the automaton is built on the tokens of such
-    pairs alone, with a mark that occurs once for each gap between them.
+    Suffixes are ordered by doubling; neighbours in that order share the most, and how much is read off the orders kept of
+    each doubling.
     """
-    pairs = Counter(zip(tokens, tokens[1:]))
-    if least < 2:
-        return _stretches(tokens, least)
-    kept, places = [], []
-    for i, (pair, after) in enumerate(zip(zip([None, *tokens], tokens), [*tokens[1:], None])):
-        if pairs[pair] > 1 or pairs[pair[1], after] > 1:
-            if places and (places[-1] != i - 1 or pairs[pair] < 2):
-                kept.append(-i)
-                places.append(-1)
-            kept.append(pair[1])
-            places.append(i)
-    out = bytearray(len(tokens))
-    for i, again in zip(places, _stretches(kept, least)):
-        if again and i >= 0:
-            out[i] = 1
+    n = len(ids)
+    if n < 2:
+        return np.zeros(n, dtype=np.int64)
+    _, rank = np.unique(ids, return_inverse=True)
+    orders, step = [rank], 1
+    while rank.max() < n - 1 and step < n:
+        after = np.zeros(n, dtype=np.int64)
+        after[: n - step] = rank[step:] + 1
+        _, rank = np.unique(rank * np.int64(n + 1) + after, return_inverse=True)
+        orders.append(rank)
+        step *= 2
+    suffixes = np.argsort(rank, kind="stable")
+    a, b = suffixes[:-1].copy(), suffixes[1:].copy()
+    shared = np.zeros(n - 1, dtype=np.int64)
+    for k in range(len(orders) - 1, -1, -1):
+        size, order = 1 << k, orders[k]
+        fits = np.maximum(a, b) + size <= n
+        same = fits & (order[np.minimum(a, n - 1)] == order[np.minimum(b, n - 1)])
+        shared[same] += size
+        a[same] += size
+        b[same] += size
+    out = np.zeros(n, dtype=np.int64)
+    out[suffixes[:-1]] = shared
+    out[suffixes[1:]] = np.maximum(out[suffixes[1:]], shared)
     return out
 
 
-def _stretches(tokens: list, least: int) -> bytearray:
-    """:func:`repeats` by an automaton on all of ``tokens``."""
-    n = len(tokens)
-    nxt: list[dict[str, int]] = [{}]
-    link, length, count = [-1], [0], [0]
-    last, prefix = 0, []
-    for i, t in enumerate(tokens):
-        cur = len(nxt)
-        nxt.append({})
-        link.append(0)
-        length.append(i + 1)
-        count.append(1)
-        p = last
-        while p >= 0 and t not in nxt[p]:
-            nxt[p][t] = cur
-            p = link[p]
-        if p >= 0:
-            q = nxt[p][t]
-            if length[q] == length[p] + 1:
-                link[cur] = q
-            else:
-                clone = len(nxt)
-                nxt.append(nxt[q].copy())
-                link.append(link[q])
-                length.append(length[p] + 1)
-                count.append(0)
-                while p >= 0 and nxt[p].get(t) == q:
-                    nxt[p][t] = clone
-                    p = link[p]
-                link[q] = link[cur] = clone
-        last = cur
-        prefix.append(cur)
-    by_length: list[list[int]] = [[] for _ in range(n + 1)]
-    for s in range(1, len(nxt)):
-        by_length[length[s]].append(s)
-    for states in reversed(by_length):
-        for s in states:
-            if link[s] > 0:
-                count[link[s]] += count[s]
-    out, until = bytearray(n), n
-    for i in range(n - 1, -1, -1):  # from the end, so that a longer stretch covers what lies under it
-        s = prefix[i]
-        if count[s] < 2:
-            s = link[s]
-        if length[s] >= least:
-            until = min(until, i - length[s] + 1)
-        if until <= i:
-            out[i] = 1
-        else:
-            until = n
-    return out
+def _under(lengths: np.ndarray, least: int) -> np.ndarray:
+    """Where stretches of ``least`` or more lie, given how long each is from its start."""
+    n = len(lengths)
+    ends = np.zeros(n + 1, dtype=np.int64)
+    at = np.flatnonzero(lengths >= least)
+    np.add.at(ends, at, 1)
+    np.add.at(ends, at + lengths[at], -1)
+    return np.cumsum(ends[:n]) > 0
+
+
+def repeats_of(pages: Sequence[np.ndarray], least: int = STRETCH) -> list[np.ndarray]:
+    """For each page, given as its words' numbers, which of its words stand in a stretch of ``least`` or more that it repeats.
+
+    All pages are one row with a mark between them, and no number of one page is one of another. A stretch of two or
+    more is made of pairs that occur again, so only words of such pairs are ordered, with a mark for each gap.
+    """
+    sizes = np.array([len(p) for p in pages], dtype=np.int64)
+    if not sizes.sum():
+        return [np.zeros(0, dtype=bool) for _ in pages]
+    top = 1 + max(int(p.max()) for p in pages if len(p))
+    page = np.repeat(np.arange(len(pages)), sizes)
+    ids = np.concatenate(pages).astype(np.int64) + page * top
+    n = len(ids)
+    again = np.zeros(n, dtype=bool)
+    if least < 2:
+        kept = np.arange(n)
+        gap = np.r_[False, page[1:] != page[:-1]]
+    else:
+        _, no, count = np.unique(ids[:-1] * np.int64(top * len(pages)) + ids[1:], return_inverse=True, return_counts=True) if top * len(pages) < 2**31 else np.unique(np.stack([ids[:-1], ids[1:]]), axis=1, return_inverse=True, return_counts=True)
+        twice = (count[no] > 1) & (page[1:] == page[:-1])
+        kept = np.flatnonzero(np.r_[twice, False] | np.r_[False, twice])
+        gap = np.r_[True, ~((kept[1:] == kept[:-1] + 1) & twice[kept[1:] - 1])][: len(kept)]
+    if len(kept):
+        # A mark that occurs once stands before each gap.
+        place = np.arange(len(kept)) + np.cumsum(gap)
+        row = np.empty(len(kept) + int(gap.sum()), dtype=np.int64)
+        row[:] = -1 - np.arange(len(row))
+        row[place] = ids[kept]
+        again[kept] = _under(longest(row), least)[place]
+    return np.split(again, np.cumsum(sizes)[:-1])
+
+
+def repeats(tokens: list[str], least: int = STRETCH) -> bytearray:
+    """For each word of one page 1 if it stands in a stretch of ``least`` words or more that occurs again."""
+    numbers: dict[str, int] = {}
+    ids = np.array([numbers.setdefault(t, len(numbers)) for t in tokens], dtype=np.int64)
+    return bytearray(repeats_of([ids], least)[0].astype(np.uint8).tobytes())
 
 
 def segments(text: str) -> Iterator[tuple[int, int, bool]]:
     """(start, end, ends like a sentence) of the pieces of a text: lines that start like rows, and sentences across soft line ends."""
     at, end = 0, len(text)
-    bounds = [m.end() for m in re.finditer(r"\n(?=\s*\n)|\n(?=\s*(?:[#>»*•·–—|-]|\d+[.)]\s|<a\s|\[|https?:|www\.))|(?<=\|)[^\S\n]*\n|\n(?=[^\n]*\|)|\n(?=\s*[\"{}\[\]])", text)]
-    for stop in [*bounds, end]:
+    for stop in [*(m.end() for m in _CUT.finditer(text)), end]:
         if stop <= at:
             continue
-        block = text[at:stop]
-        pos = 0
-        for m in _END.finditer(block):
-            line = block.rfind("\n", pos, m.start()) + 1
-            if line > pos and block[line : line + 1].isupper() and len(_WORD.findall(block, line, m.end())) >= CLAUSE_LEAST:
-                yield at + pos, at + line, False  # a sentence that starts on a line of its own
+        pos = at
+        for m in _END.finditer(text, at, stop):
+            line = text.rfind("\n", pos, m.start()) + 1
+            if line > pos and not text[line : line + 1].islower() and text[line : line + 1].isalpha() and len(_WORD.findall(text, line, m.end())) >= CLAUSE_LEAST:
+                yield pos, line, False  # a sentence that starts on a line of its own
                 pos = line
-            yield at + pos, at + m.end(), True
+            yield pos, m.end(), True
             pos = m.end()
-        if block[pos:].strip():
-            yield at + pos, stop, False
+        if not text[pos:stop].isspace() and pos < stop:
+            yield pos, stop, False
         at = stop
 
 
-def _is_clause(words: list[str], covered: float, ends: bool, rows: int, opens: bool) -> bool:
-    """Whether words make up a clause: of a sentence's length with an end, not turning round the same few words, and
-    either held together by known function words or, in any other language, written like a sentence from its
-    capital (``opens``) to its end without repeats."""
-    n = len(words)
-    if not n:
-        return False
-    content = [w for w in words if w not in FUNCTION_WORDS]
-    bound = (n - len(content)) / n
-    varied = len(set(content)) / max(1, len(content))
-    if not ends:  # prose may come without punctuation, but not without function words
-        return n >= CLAUSE_LEAST and bound >= BOUND and covered <= REPEATED and rows * 6 < n and varied >= VARIED
-    if not CLAUSE_LEAST <= n <= CLAUSE_MOST or rows * 4 >= n:
-        return False
-    if n < PILE // 2:
-        return True
-    return (bound >= LOOSE and not (varied < VARIED and covered > ROUND)) or (opens and varied >= VARIED and covered <= REPEATED)
-
-
 def _shown(text: str) -> int:
     """The number of characters other than white space."""
     return sum(map(len, text.split()))
 
 
-def page(text: str | None) -> Page:
-    """The measures of a page; all 0 for null or blank text."""
-    if not text or not text.strip():
-        return Page(0, 0, 0, 0)
+class _Read(NamedTuple):
+    """A page's text without quote marks and entities, its segments with their words counted up, and the words with their numbers."""
+
+    text: str
+    parts: list[tuple[int, int, bool, int]]  # start, end, ends like a sentence, words up to its end
+    words: list[str]
+    types: list[str]
+    ids: np.ndarray
+
+
+def _read(text: str | None) -> _Read | None:
+    if not text or text.isspace():
+        return None
     if not text.isascii():
         text = "\n".join(line if line.isascii() else consistent(line) for line in text.split("\n"))
     if "&" in text:
         text = html.unescape(text)
-    text = _QUOTE.sub("", text)
-    found = [m.span() for m in _WORD.finditer(text)]
-    folded = text.casefold()
-    tokens = [folded[a:b] for a, b in found] if len(folded) == len(text) else [text[a:b].casefold() for a, b in found]
-    again = repeats(tokens)
-    starts = [a for a, _ in found]
-    # Sums up to each word: of its letters, and of those under repeats.
-    sizes = [0, *accumulate(b - a for a, b in found)]
-    unders = [0, *accumulate(b - a if r else 0 for (a, b), r in zip(found, again))]
-    total, covered = _shown(text), unders[-1]
+    if ">" in text:
+        text = _QUOTE.sub("", text)
+    words: list[str] = []
+    parts = []
+    find = _WORD.findall
+    for a, b, ends in segments(text):  # no segment begins or ends within a word
+        words += find(text[a:b].lower())
+        parts.append((a, b, ends, len(words)))
+    numbers: dict[str, int] = {}
+    put = numbers.setdefault
+    ids = np.array([put(w, len(numbers)) for w in words], dtype=np.int64)
+    return _Read(text, parts, words, list(numbers), ids)
+
+
+def _sums(x: np.ndarray) -> list[int]:
+    """Sums up to each place, from 0."""
+    out = np.zeros(len(x) + 1, dtype=np.int64)
+    np.cumsum(x, out=out[1:])
+    return out.tolist()
+
+
+def _judge(r: _Read, again: np.ndarray) -> Page:
+    """The measures of a page whose repeated words are known."""
+    text, words = r.text, r.words
+    n = len(words)
+    count = np.bincount(r.ids, minlength=1)
+    often = max(2, n // OFTEN)
+    common = [w for w, m in zip(r.types, (count >= often).tolist()) if m]
+    known = {w for w in common if len(w) <= PARTICLE and w.isalpha()}
+    letters = np.array(list(map(len, words)), dtype=np.int64)
+    sizes, unders = _sums(letters), _sums(letters * again)
+    bounds = _sums(np.array([w in known for w in words], dtype=bool))
     clause = stuffing = k = 0
-    loose: list[tuple[int, int, int, int]] = []  # neighbouring segments without clauses: words from, to, characters, rows
+    loose: list[tuple[int, int, int, int]] = []  # neighbouring segments without clauses: words from, to, characters, separators
 
     def settle() -> int:
         """The characters of stuffing among the loose segments gathered so far."""
         if not loose:
             return 0
-        own = [w for a, b, _, _ in loose for w in tokens[a:b]]
+        own = sum(b - a for a, b, _, _ in loose)
         size = sum(sizes[b] - sizes[a] for a, b, _, _ in loose)
         under = sum(unders[b] - unders[a] for a, b, _, _ in loose)
+        held = sum(bounds[b] - bounds[a] for a, b, _, _ in loose)
         chars, rows = sum(x[2] for x in loose), sum(x[3] for x in loose)
         loose.clear()
-        if len(own) < PILE:
+        if own < LIST:
             return 0
-        bound = sum(w in FUNCTION_WORDS for w in own) / len(own)
-        return chars if under > REPEATED * size or bound < BOUND or rows * 6 >= len(own) else 0
+        if under > REPEATED * size or rows * 6 >= own:
+            return chars
+        return chars if own >= PILE and held < BOUND * own else 0
 
-    for a, b, ends in segments(text):
+    for a, b, ends, upto in r.parts:
+        first, k = k, upto
+        if first == k:
+            continue
         piece = text[a:b]
-        first, k = k, bisect_left(starts, b, k)
         chars = _shown(piece)
-        if first == k:
+        if "#" in piece and sum(m.end() - m.start() for m in _TAG.finditer(piece)) * 2 > chars:
+            stuffing += chars
             continue
         linked = "](" in piece or "<a" in piece or "<A" in piece
-        bare = _ANCHOR.sub(" ", piece) if linked else piece
+        bare = _MARKUP.sub(" ", _ANCHOR.sub(" ", piece)) if linked else piece
         rest = _LINK.sub(" ", bare) if "://" in bare or "www." in bare.lower() else bare
-        own = [w.casefold() for w in _WORD.findall(rest)] if rest is not piece else tokens[first:k]
+        own = _WORD.findall(rest.lower()) if rest is not piece else words[first:k]
+        held = sum(w in known for w in own) if rest is not piece else bounds[k] - bounds[first]
         under = (unders[k] - unders[first]) / (sizes[k] - sizes[first])
-        head = rest.lstrip(" \t\r\n\"'“«¿¡([*_-")[:2]
-        if _is_clause(own, under, ends, len(_SEPARATOR.findall(rest)), head[:1].isupper() and not head[1:].isupper()):
+        rows = len(_SEPARATOR.findall(rest))
+        if _is_clause(own, known, held, under, ends, rows, rest):
             clause += chars
             stuffing += settle()
             continue
         if rest is not piece:
             gone = chars - _shown(rest)
             # What stands between links without a clause of its own is their caption.
-            stuffing += chars if gone * 3 >= chars or len(own) < PILE else gone
-            continue
-        tags = sum(e - s for s, e in (m.span() for m in _TAG.finditer(piece)))
-        if tags * 2 > chars:
-            stuffing += chars
+            stuffing += chars if gone * 3 >= chars or len(own) < LIST else gone
             continue
         if sum(map(str.isdigit, piece)) >= sum(map(str.isalpha, piece)):
             continue  # a row of figures
-        loose.append((first, k, chars, len(_SEPARATOR.findall(piece))))
+        loose.append((first, k, chars, rows))
     stuffing += settle()
-    return Page(total, covered, clause, stuffing)
+    return Page(_shown(text), unders[-1], clause, stuffing)
+
+
+def _varied(own: list[str], known: set[str]) -> bool:
+    """Whether the words other than particles and figures are nearly all different."""
+    others = [w for w in own if w not in known and not w.isdigit()]
+    return len(set(others)) >= VARIED * len(others)
+
+
+def _is_clause(own: list[str], known: set[str], held: int, under: float, ends: bool, rows: int, rest: str) -> bool:
+    """Whether words make up a clause: of a sentence's length with an end, not turning round the same few words, and either
+    held together by the page's particles or written like a sentence from its beginning, not a small letter, to its end without repeats.
+    """
+    n = len(own)
+    if n < CLAUSE_LEAST:
+        return False
+    if under > REPEATED and n >= LIST // 2 and len(set(own)) < (VARIED if under > ROUND else TURNING) * n:
+        return False  # the same few words in turn
+    if not ends:  # prose may come without punctuation, but not without particles
+        return held >= BOUND * n and under <= REPEATED and rows * 6 < n and _varied(own, known)
+    if n > CLAUSE_MOST * (3 if len(own[0]) == 1 else 1) or rows * 4 >= n:
+        return False
+    if n < LIST // 2 or held >= LOOSE * n and (under <= ROUND or _varied(own, known)):
+        return True
+    head = rest.lstrip(" \t\r\n\"'“«¿¡([*_-「『")[:2]
+    opens = not head[:1].islower() and not (head[:1].isupper() and head[1:].isupper())
+    return opens and under <= REPEATED and _varied(own, known)
+
+
+def pages(texts: Sequence[str | None]) -> list[Page]:
+    """The measures of many pages; all 0 for null or blank text."""
+    read = [_read(t) for t in texts]
+    there = [r for r in read if r is not None]
+    again = iter(repeats_of([r.ids for r in there])) if there else iter(())
+    return [Page(0, 0, 0, 0) if r is None else _judge(r, next(again)) for r in read]
+
+
+def page(text: str | None) -> Page:
+    """The measures of one page."""
+    return pages([text])[0]
+
+
+#: Characters of the pages whose words are ordered together.
+TOGETHER = 1_000_000
 
 
 def measure(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, chars, covered, clause, stuffing) of every page, over the whole of its text; null and blank texts have zeros."""
 
+    def groups(texts: list[str | None]) -> Iterator[list[str | None]]:
+        some, size = [], 0
+        for t in texts:
+            some.append(t)
+            size += len(t or "")
+            if size > TOGETHER:
+                yield some
+                some, size = [], 0
+        yield some
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pages = [page(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in (zip(*pages) if pages else [[]] * 4))], names=["doc_id", *Page._fields])
+            done = [p for some in groups(b.column(1).to_pylist()) for p in pages(some)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in (zip(*done) if done else [[]] * 4))], names=["doc_id", *Page._fields])
 
     return df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text)).mapInArrow(run, "doc_id bigint, chars bigint, covered bigint, clause bigint, stuffing bigint")
 

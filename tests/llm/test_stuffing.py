@@ -1,5 +1,7 @@
 import random
+import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sondage.llm import stuffing as s
@@ -24,11 +26,49 @@ SPAM = {
 }
 
 
+# Honest prose in ten languages, our own.
+HONEST = {
+    "de": "Der Ausschuss traf sich am Dienstag und beschloss, den Bericht noch vor dem Ende des Monats zu senden. Niemand widersprach dem Vorschlag, aber zwei Mitglieder baten um eine kürzere Fassung. Nach einer langen Debatte schloss die Leiterin die Sitzung, und der Bericht ging an den Rat.",
+    "tr": "Kurul salı günü toplandı ve raporu ay sonundan önce göndermeye karar verdi. Kimse bu öneriye karşı çıkmadı ama iki üye daha kısa bir metin istedi. Uzun bir tartışmadan sonra başkan toplantıyı kapattı ve rapor bir gün içinde meclise ulaştı.",
+    "fi": "Valiokunta kokoontui tiistaina ja päätti lähettää raportin ennen kuun loppua. Kukaan ei vastustanut ehdotusta, mutta kaksi jäsentä pyysi lyhyempää tekstiä. Pitkän keskustelun jälkeen puheenjohtaja päätti kokouksen ja raportti meni neuvostolle.",
+    "hi": "समिति मंगलवार को मिली और तय किया कि रिपोर्ट महीने के अंत से पहले भेजी जाए। किसी ने विरोध नहीं किया, पर दो सदस्यों ने छोटा पाठ माँगा। लंबी बहस के बाद अध्यक्ष ने बैठक बंद की और रिपोर्ट परिषद को भेजी गई।",
+    "zh": "委员会星期二开会，决定在月底以前把报告送出去。没有人反对这个建议，但是有两位委员要求写得短一些。经过很长时间的讨论，主席结束了会议，报告在第二天交给了市议会。",
+    "ja": "委員会は火曜日に集まり、月末までに報告書を送ることを決めた。反対する人はいなかったが、二人の委員がもっと短い文を求めた。長い議論の後で議長は会議を閉じ、報告書は次の日に議会へ届けられた。",
+    "ar": "اجتمعت اللجنة يوم الثلاثاء وقررت أن ترسل التقرير قبل نهاية الشهر. لم يعترض أحد على الاقتراح، لكن عضوين طلبا نصا أقصر. بعد نقاش طويل أغلقت الرئيسة الجلسة وأرسل التقرير إلى المجلس.",
+    "ru": "Комитет собрался во вторник и решил отправить отчёт до конца месяца. Никто не возражал против предложения, но два члена попросили текст покороче. После долгого спора председатель закрыл заседание, и отчёт ушёл в совет.",
+    "pt": "O comité reuniu-se na terça-feira e decidiu enviar o relatório antes do fim do mês. Ninguém se opôs à proposta, mas dois membros pediram um texto mais curto. Depois de um longo debate, a presidente encerrou a sessão e o relatório seguiu para o conselho.",
+    "sw": "Kamati ilikutana siku ya Jumanne na ikaamua kupeleka ripoti kabla ya mwisho wa mwezi. Hakuna aliyepinga pendekezo hilo, lakini wajumbe wawili waliomba maandishi mafupi zaidi. Baada ya mjadala mrefu mwenyekiti alifunga kikao na ripoti ilipelekwa kwa baraza.",
+}
+
+
+def bare(text):
+    """A text without capitals and punctuation."""
+    return re.sub(r"[.,;!?।。，、！؟،-]+", " ", text).lower()
+
+
+def wrapped(text):
+    w = text.split(" ")
+    return "\n".join(" ".join(w[i : i + 8]) for i in range(0, len(w), 8))
+
+
 def share(text):
     p = s.page(text)
     return p.stuffing / max(1, p.chars)
 
 
+def test_honest_prose_of_any_language():
+    pages = [f(t) * n for t in HONEST.values() for f, n in ((str, 1), (str, 3), (bare, 1), (wrapped, 1))]
+    assert len(pages) == 40
+    for t in pages:
+        assert share(t) < 0.5, t[:80]
+
+
+def test_spam_of_any_language():
+    for keyword in ("günstiger Kredit", "ucuz kredi", "सस्ता ऋण", "便宜贷款", "قرض رخيص", "дешёвый кредит"):
+        for sep in (", ", "\n", " | ", " "):
+            assert share(sep.join(f"{keyword} {x}" for x in ("2024", "online", "24", "top", "2025", "xl", "pro", "2026") * 3)) > 0.5, (keyword, sep)
+
+
 def test_stuffing_is_found_and_honest_text_is_not():
     for name, text in SPAM.items():
         assert share(text) > 0.8, name
@@ -40,11 +80,13 @@ def test_stuffing_is_found_and_honest_text_is_not():
     assert share("Der Ausschuss traf sich am Dienstag und beschloss den Bericht sofort zu senden. Niemand widersprach dem Vorschlag trotz langer Debatte.") < 0.5
 
 
-def test_automaton_against_brute_force():
+def test_repeats_against_brute_force():
     rng = random.Random(1)
+    pages = []
     for _ in range(500):
         t = [rng.choice("abcdef"[: rng.randint(1, 6)]) for _ in range(rng.randint(0, 24))]
         n = len(t)
+        pages.append(t)
         for least in (1, 2, 3):
             want = bytearray(n)
             for a in range(n):
@@ -52,6 +94,11 @@ def test_automaton_against_brute_force():
                     if any(t[c : c + b - a] == t[a:b] for c in range(n - b + a + 1) if c != a):
                         want[a:b] = b"\1" * (b - a)
             assert s.repeats(t, least) == want
+        ids = np.array([ord(x) for x in t])
+        far = [max([k for k in range(1, n + 1) for c in range(n) if c != i and max(i, c) + k <= n and t[i : i + k] == t[c : c + k]], default=0) for i in range(n)]
+        assert s.longest(ids).tolist() == far
+    together = s.repeats_of([np.array([ord(x) for x in t], dtype=np.int64) for t in pages])  # pages side by side repeat nothing of each other
+    assert [x.tolist() for x in together] == [[bool(v) for v in s.repeats(t)] for t in pages]
 
 
 def test_edges(spark):
