@@ -1,9 +1,10 @@
 """The 29 indicators over decisions, energy records and accountability events, for all groups at once.
 
-Three fused passes instead of one for each indicator: row-level figures and their breakdowns in one scan of the
-decisions; all that joins by audit id in one shuffle of slim rows of every source (a union grouped by group
-and id, combined on the map side, so no id is ever hot); and one pass over the events. ``by`` computes everything for
-each value of a label in the same passes; no group is looped over.
+Fused passes instead of one for each indicator: row-level figures in one scan of the records and their breakdowns in
+a second; all that joins by audit id in one shuffle of slim rows of every source (a union grouped by group and id, combined on the
+map side, so no id is ever hot); one pass over the events into a row for each group, type and member; and one over the
+appeals. What is read more than once is small and is written once. ``by`` computes everything for each value of a label in the
+same passes; no group is looped over.
 """
 
 from __future__ import annotations
@@ -66,35 +67,48 @@ def grouped(i: Inputs) -> tuple[DataFrame, DataFrame]:
     if i.by is None:
         return audit.withColumn("g", F.lit("")), events.withColumn("g", F.lit(""))
     audit = audit.withColumn("g", F.nullif(F.col("labels")[i.by], F.lit(""))).filter("g IS NOT NULL")
-    owners = audit.select("key", "g").distinct()
-    mine = events.filter("key IS NOT NULL").join(owners, "key")
-    named = events.filter("key IS NULL").withColumn("g", F.nullif(F.col(i.by), F.lit(""))).filter("g IS NOT NULL")
-    return audit, mine.unionByName(named)
+    owners = audit.filter("key IS NOT NULL").select("key", "g").distinct()
+    used = ["key", "event_no", "timestamp", "type", i.by, *_EVENT_FIELDS]
+    slim = events.select(*dict.fromkeys(used))
+    mine = slim.filter("key IS NOT NULL").join(owners, "key")
+    named = slim.filter("key IS NULL").withColumn("g", F.nullif(F.col(i.by), F.lit(""))).filter("g IS NOT NULL")
+    return audit, cut_lineage(mine.unionByName(named))  # joined once; read by three passes
+
+
+#: What the passes over the events read.
+_EVENT_FIELDS = (
+    "language", "topic", "region", "corpus", "cause", "group", "upheld", "human_confirmed", "filed_at", "reviewed_at", "reported_at", "revoked_at", "honoured_at", "started_at",
+    "ended_at", "attempts", "evasions", "passed", "total", "extracted", "returned", "local_share", "score",
+)
 
 
 def _hits(cond: Column) -> Column:
     return F.count_if(F.coalesce(cond, F.lit(False)))
 
 
-def row_facts(decisions: DataFrame) -> DataFrame:
-    """Per group: everything that one scan of the decisions gives."""
+def row_facts(audit: DataFrame) -> DataFrame:
+    """Per group: everything that one scan of the records gives."""
     agency = F.col("governance_metadata.seed_stock.agency")
-    learning = F.col("capability.context") == "learning"
+    d = F.col("kind") == "decision"
+    learning = d & (F.col("capability.context") == "learning")
+    approved = d & (F.col("status") == "APPROVED")
     used, rest = F.col("energy.budget_used_kwh"), F.col("energy.budget_remaining_kwh")
-    point = F.when(used.isNotNull() & rest.isNotNull(), F.struct(F.col("timestamp").alias("t"), used.alias("used"), (used + rest).alias("limit")))
-    return decisions.groupBy("g").agg(
-        F.count("*").alias("n"),
-        _hits(F.col("confirmed_tier3")).alias("confirmed"),
-        _hits(F.col("near_miss")).alias("near"),
-        _hits(F.col("infrastructure_error")).alias("infra"),
-        _hits(F.size(F.coalesce("governance_metadata.unscreened", F.array().cast("array<string>"))) == 0).alias("screened"),
-        _hits((F.col("status") == "APPROVED") & agency.isNotNull()).alias("scored"),
-        _hits((F.col("status") == "APPROVED") & (agency < 1)).alias("displaced"),
+    point = F.when(d & used.isNotNull() & rest.isNotNull(), F.struct(F.col("timestamp").alias("t"), used.alias("used"), (used + rest).alias("limit")))
+    return audit.groupBy("g").agg(
+        _hits(d).alias("n"),
+        _hits(d & F.col("confirmed_tier3")).alias("confirmed"),
+        _hits(d & F.col("near_miss")).alias("near"),
+        _hits(d & F.col("infrastructure_error")).alias("infra"),
+        _hits(d & (F.size(F.coalesce("governance_metadata.unscreened", F.array().cast("array<string>"))) == 0)).alias("screened"),
+        _hits(approved & agency.isNotNull()).alias("scored"),
+        _hits(approved & (agency < 1)).alias("displaced"),
         _hits(learning).alias("learning"),
         _hits(learning & F.col("capability.mode").isin("scaffold", "mixed")).alias("scaffold"),
         F.count(point).alias("points"),
         F.min(point).alias("first"),
         F.max(point).alias("last"),
+        F.count("*").alias("written"),
+        F.coalesce(F.max("sink_failures"), F.lit(0)).alias("failures"),
     )
 
 
@@ -110,20 +124,19 @@ def id_facts(audit: DataFrame, events: DataFrame) -> DataFrame:
     def part(df: DataFrame, **cols: Column) -> DataFrame:
         return df.filter("key IS NOT NULL").select("g", "key", *[(cols[c] if c in cols else none(t)).cast(t).alias(c) for c, t in slim.items()])
 
-    decisions = part(
-        audit.filter("kind = 'decision'"), src=F.lit("decision"), at=order, est=sound(energy["estimated_kwh"]), carbon=sound(energy["carbon_intensity_g_kwh"]),
-        approved=F.col("status") == "APPROVED", confirmed=_true("confirmed_tier3"), community=_true("governance_metadata.community_action"),
-        language=F.col("labels.language"), topic=F.col("labels.topic"),
+    own = lambda x: F.when(F.col("kind") == "decision", x)
+    records = part(
+        audit.filter("kind IN ('decision', 'energy')"), src=F.col("kind"), at=order, est=own(sound(energy["estimated_kwh"])), carbon=own(sound(energy["carbon_intensity_g_kwh"])),
+        actual=F.when(F.col("kind") == "energy", sound(energy["actual_kwh"])), approved=own(F.col("status") == "APPROVED"), confirmed=own(_true("confirmed_tier3")),
+        community=own(_true("governance_metadata.community_action")), language=own(F.col("labels.language")), topic=own(F.col("labels.topic")),
     )
-    metered = part(audit.filter("kind = 'energy'"), src=F.lit("energy"), at=order, actual=sound(energy["actual_kwh"]))
     kinds = ("escaped_harm", "consent_verified", "incident_reported")
     told = part(events.filter(F.col("type").isin(*kinds)), src=F.col("type"), at=F.struct("timestamp", F.col("event_no").alias("seq")), reported_at=F.col("reported_at"))
     is_ = lambda s: F.col("src") == s
     seq = F.col("at.seq")
     d = is_("decision")
     return (
-        decisions.unionByName(metered)
-        .unionByName(told)
+        records.unionByName(told)
         .groupBy("g", "key")
         .agg(
             _hits(d).alias("rows"),
@@ -158,68 +171,80 @@ def joined_facts(ids: DataFrame) -> DataFrame:
     )
 
 
-def appeals(events: DataFrame, ids: DataFrame) -> DataFrame:
-    """Appeals counted by group, language and topic: (g, language, topic, n, upheld).
+def filed(events: DataFrame) -> DataFrame:
+    """The appeals alone: (g, key, language, topic, upheld, hours from filing to review)."""
+    empty = lambda c: F.nullif(F.col(c), F.lit(""))
+    hours = (F.unix_micros("reviewed_at") - F.unix_micros("filed_at")) / 1e6 / 3600
+    rows = events.filter("type = 'appeal_outcome'").select("g", "key", empty("language").alias("language"), empty("topic").alias("topic"), F.coalesce("upheld", F.lit(False)).alias("upheld"), hours.alias("hours"))
+    return cut_lineage(rows)
+
+
+def appeals(asked: DataFrame, ids: DataFrame) -> DataFrame:
+    """Appeals counted by group, language and topic: (g, language, topic, n, upheld, reviewed).
 
     A language or topic that the event leaves empty is the decision's. Appeals are counted per id and
     own labels before they meet the decisions, so an id with very many of them is one row.
     """
     empty = lambda c: F.nullif(F.col(c), F.lit(""))
-    own = (
-        events.filter("type = 'appeal_outcome'")
-        .groupBy("g", "key", empty("language").alias("language"), empty("topic").alias("topic"))
-        .agg(F.count("*").alias("n"), _hits(F.col("upheld")).alias("upheld"))
-    )
+    own = asked.groupBy("g", "key", "language", "topic").agg(F.count("*").alias("n"), F.count_if("upheld").alias("upheld"), F.count("hours").alias("reviewed"))
     d = ids.filter("rows > 0").select("g", "key", F.col("last.language").alias("dl"), F.col("last.topic").alias("dt"))
     full = own.join(d, ["g", "key"], "left")
     return full.groupBy("g", F.coalesce("language", empty("dl")).alias("language"), F.coalesce("topic", empty("dt")).alias("topic")).agg(
-        F.sum("n").alias("n"), F.sum("upheld").alias("upheld")
+        *[F.sum(x).alias(x) for x in ("n", "upheld", "reviewed")]
     )
 
 
-def event_facts(events: DataFrame) -> DataFrame:
-    """Per group: everything that one pass over the events gives."""
-    is_ = lambda t: F.col("type") == t
+def event_cells(events: DataFrame) -> DataFrame:
+    """Everything that one pass over the events gives: a row for each group, type and member of its breakdown.
+
+    The member is the cause of a trip, the region of a flow or capacity, the group of a service, the corpus of a canary run.
+    """
+    t = F.col("type")
+    is_ = lambda x: t == x
+    name = lambda c: F.coalesce(F.col(c), F.lit("None"))
     span = lambda a, b: (F.unix_micros(b) - F.unix_micros(a)) / 1e6
-    trip, revoked = is_("breaker_trip"), is_("consent_revoked")
+    member = F.when(is_("breaker_trip"), F.coalesce("cause", F.lit("unknown"))).when(t.isin("value_flow", "capacity"), name("region")).when(is_("service_quality"), name("group")).when(is_("canary_result"), F.col("corpus"))
+    kinds = ("canary_result", "consent_revoked", "breaker_trip", "redteam_result", "human_override", "value_flow", "capacity", "service_quality")
+    last = lambda v: F.max_by(v, F.struct("timestamp", "event_no"))
     # The latest run of a corpus; of several at one time the first in order.
-    run = lambda corpus: F.max_by(
-        F.struct("passed", "total"), F.when(is_("canary_result") & (F.col("corpus") == corpus), F.struct("timestamp", (-F.col("event_no")).alias("o")))
-    )
-    return events.groupBy("g").agg(
-        F.count(F.when(is_("appeal_outcome"), span("filed_at", "reviewed_at"))).alias("reviewed"),
-        run("protected_speech").alias("speech"),
-        run("legitimate_challenge").alias("challenge"),
-        _hits(revoked).alias("revoked"),
-        _hits(revoked & (span("revoked_at", "honoured_at") <= REVOCATION_S)).alias("honoured"),
-        _hits(trip).alias("trips"),
-        _hits(trip & (span("started_at", "ended_at") > TRIP_S) & ~_true("human_confirmed")).alias("unconfirmed"),
-        F.coalesce(F.sum(F.when(is_("redteam_result"), F.col("attempts"))), F.lit(0)).alias("attempts"),
-        F.coalesce(F.sum(F.when(is_("redteam_result"), F.col("evasions"))), F.lit(0)).alias("evasions"),
-        _hits(is_("human_override")).alias("overrides"),
-    )
+    run = F.max_by(F.struct("passed", "total"), F.struct("timestamp", (-F.col("event_no")).alias("o")))
+    cells = events.filter(t.isin(*kinds)).groupBy("g", "type", member.alias("member")).agg(
+        F.count("*").alias("n"), run.alias("run"), _hits(span("revoked_at", "honoured_at") <= REVOCATION_S).alias("honoured"),
+        _hits((span("started_at", "ended_at") > TRIP_S) & ~_true("human_confirmed")).alias("unconfirmed"), F.sum("attempts").alias("attempts"), F.sum("evasions").alias("evasions"),
+        F.sum("extracted").alias("x"), F.sum("returned").alias("r"), last("local_share").alias("share"), last("score").alias("score"),
+    )
+    return cut_lineage(cells)
 
 
-def review_hours(events: DataFrame) -> DataFrame:
+def event_facts(cells: DataFrame) -> DataFrame:
+    """Per group: the sums over its cells."""
+    of = lambda t, x: F.coalesce(F.sum(F.when(F.col("type") == t, F.col(x))), F.lit(0))
+    run = lambda corpus: F.max(F.when((F.col("type") == "canary_result") & (F.col("member") == corpus), F.col("run")))
+    return cells.groupBy("g").agg(
+        run("protected_speech").alias("speech"), run("legitimate_challenge").alias("challenge"), of("consent_revoked", "n").alias("revoked"), of("consent_revoked", "honoured").alias("honoured"),
+        of("breaker_trip", "n").alias("trips"), of("breaker_trip", "unconfirmed").alias("unconfirmed"), of("redteam_result", "attempts").alias("attempts"),
+        of("redteam_result", "evasions").alias("evasions"), of("human_override", "n").alias("overrides"),
+    )
+
+
+def review_hours(asked: DataFrame) -> DataFrame:
     """Per group: the median hours from filing to review."""
-    hours = (F.unix_micros("reviewed_at") - F.unix_micros("filed_at")) / 1e6 / 3600
-    spans = events.filter("type = 'appeal_outcome'").select("g", hours.alias("h"))
-    return exact_quantile(spans, ["g"], "h", 0.5).select("g", F.col("quantile").alias("hours"))
+    return exact_quantile(asked, ["g"], "hours", 0.5).select("g", F.col("quantile").alias("hours"))
 
 
-def breakdowns(decisions: DataFrame, events: DataFrame, appealed: DataFrame, k: int) -> DataFrame:
+def breakdowns(decisions: DataFrame, cells: DataFrame, appealed: DataFrame, k: int) -> DataFrame:
     """(g, kpi, dim, member, n, value, suppressed): a value is withheld in groups under ``k``; nameless members are left out."""
     learning = F.col("capability.context") == "learning"
     pair = lambda dim, c: F.struct(F.lit(dim).alias("dim"), F.nullif(F.col(c), F.lit("")).alias("member"))
     dims = F.explode(F.array(pair("language", "labels.language"), pair("cohort", "labels.cohort"), pair("task_class", "labels.task_class")))
-    cells = decisions.select(
+    rows = decisions.select(
         "g", dims.alias("m"), _true("near_miss").alias("near"), F.coalesce(refused(), F.lit(False)).alias("refused"), F.coalesce(learning, F.lit(False)).alias("learning"),
         F.coalesce(learning & F.col("capability.mode").isin("scaffold", "mixed"), F.lit(False)).alias("scaffold"),
         F.when(F.col("completion_digest") != "", F.col("completion_digest")).alias("digest"),
     ).filter("m.member IS NOT NULL")
     # Distinct completions per task, and all plain counts, by two aggregations over (group, member, digest).
     task = F.col("m.dim") == "task_class"
-    once = cells.groupBy("g", "m", F.when(task, F.col("digest")).alias("digest")).agg(
+    once = rows.groupBy("g", "m", F.when(task, F.col("digest")).alias("digest")).agg(
         F.count("*").alias("n"), F.count_if("near").alias("near"), F.count_if("refused").alias("refused"), F.count_if("learning").alias("learning"), F.count_if("scaffold").alias("scaffold")
     )
     flat = once.groupBy("g", "m.dim", "m.member").agg(
@@ -237,24 +262,20 @@ def breakdowns(decisions: DataFrame, events: DataFrame, appealed: DataFrame, k:
     )
     small = F.col("n") < k
     held = held.select("g", "kpi", "dim", "member", "n", F.when(~small, F.col("value")).alias("value"), small.alias("suppressed"))
-    return held.unionByName(_open_breakdowns(events))
-
-
-def _open_breakdowns(events: DataFrame) -> DataFrame:
-    """Breakdowns that aren't withheld: causes of trips, regions, groups."""
-    latest = lambda v, by: F.max_by(v, F.struct("timestamp", by))
-    one, name = F.lit(1).cast("bigint"), lambda c: F.coalesce(F.col(c), F.lit("None"))
-    trips = events.filter("type = 'breaker_trip'").groupBy("g", F.coalesce("cause", F.lit("unknown")).alias("member")).agg(F.count("*").alias("n"))
-    flow = events.filter("type = 'value_flow'").groupBy("g", name("region").alias("member")).agg(F.sum("extracted").alias("x"), F.sum("returned").alias("r"))
-    share = events.filter("type = 'capacity'").groupBy("g", name("region").alias("member")).agg(latest("local_share", "event_no").alias("value"))
-    score = events.filter("type = 'service_quality'").groupBy("g", name("group").alias("member")).agg(latest("score", "event_no").alias("value"))
-    parts = [
-        trips.select("g", F.lit("K-17").alias("kpi"), F.lit("cause").alias("dim"), "member", "n", dbl(F.col("n")).alias("value")),
-        flow.select("g", F.lit("K-27").alias("kpi"), F.lit("region").alias("dim"), "member", one.alias("n"), F.when(F.col("x") > 0, ratio(F.coalesce("r", dbl(0.0)), F.col("x"))).alias("value")),
-        share.select("g", F.lit("K-28").alias("kpi"), F.lit("region").alias("dim"), "member", one.alias("n"), "value"),
-        score.select("g", F.lit("K-29").alias("kpi"), F.lit("group").alias("dim"), "member", one.alias("n"), "value"),
-    ]
-    return reduce(DataFrame.unionByName, parts).withColumn("suppressed", F.lit(False))
+    return held.unionByName(_open_breakdowns(cells))
+
+
+def _open_breakdowns(cells: DataFrame) -> DataFrame:
+    """Breakdowns that aren't withheld: causes of trips, regions, groups. Read off the cells of the events."""
+    c, one = F.col, F.lit(1).cast("bigint")
+    row = lambda kpi, dim, n, value: F.struct(F.lit(kpi).alias("kpi"), F.lit(dim).alias("dim"), n.alias("n"), value.cast("double").alias("value"))
+    kind = (
+        F.when(c("type") == "breaker_trip", row("K-17", "cause", c("n"), c("n")))
+        .when(c("type") == "value_flow", row("K-27", "region", one, F.when(c("x") > 0, ratio(F.coalesce("r", dbl(0.0)), c("x")))))
+        .when(c("type") == "capacity", row("K-28", "region", one, c("share")))
+        .when(c("type") == "service_quality", row("K-29", "group", one, c("score")))
+    )
+    return cells.select("g", "member", kind.alias("k")).filter("k IS NOT NULL").select("g", "k.kpi", "k.dim", "member", "k.n", "k.value", F.lit(False).alias("suppressed"))
 
 
 def _two_level(b: DataFrame) -> DataFrame:
@@ -280,18 +301,18 @@ def compute(i: Inputs, *, whole_trail: DataFrame | None = None, rules: tuple[flo
     more count as absent; rows without an audit id take no part in what joins by it.
     """
     audit, events = grouped(i)
-    decisions = audit.filter("kind = 'decision'")
-    ids = id_facts(audit, events)
-    appealed = cut_lineage(appeals(events, ids))  # a row for each language and topic of a group; read twice below
-    b = breakdowns(decisions, events, appealed, i.k)
-    trail = (with_key(whole_trail).withColumn("g", F.lit("")) if whole_trail is not None and i.by is None else audit).groupBy("g").agg(
-        F.count("*").alias("written"), F.coalesce(F.max("sink_failures"), F.lit(0)).alias("failures")
+    ids = cut_lineage(id_facts(audit, events))  # a slim row for each group and id; read twice
+    told, asked = event_cells(events), filed(events)
+    appealed = cut_lineage(appeals(asked, ids))  # a row for each language and topic of a group
+    b = cut_lineage(breakdowns(audit.filter("kind = 'decision'"), told, appealed, i.k))  # a row for each published cell
+    challenge = F.col("topic").isin(*CHALLENGE_TOPICS)
+    disputes = appealed.groupBy("g").agg(
+        F.sum("n").alias("appeals"), F.sum("upheld").alias("upheld"), F.sum("reviewed").alias("reviewed"), F.sum(F.when(challenge, F.col("n"))).alias("disputes"), F.sum(F.when(challenge, F.col("upheld"))).alias("lost")
     )
-    asked = appealed.groupBy("g").agg(
-        F.sum("n").alias("appeals"), F.sum("upheld").alias("upheld"),
-        F.sum(F.when(F.col("topic").isin(*CHALLENGE_TOPICS), F.col("n"))).alias("disputes"), F.sum(F.when(F.col("topic").isin(*CHALLENGE_TOPICS), F.col("upheld"))).alias("lost"),
-    )
-    parts = [row_facts(decisions), joined_facts(ids).withColumnRenamed("metered", "metered_rows"), event_facts(events), review_hours(events), asked, _two_level(b), trail]
+    parts = [row_facts(audit), joined_facts(ids).withColumnRenamed("metered", "metered_rows"), event_facts(told), review_hours(asked), disputes, _two_level(b)]
+    if whole_trail is not None and i.by is None:
+        parts[0] = parts[0].drop("written", "failures")
+        parts.append(whole_trail.agg(F.count("*").alias("written"), F.coalesce(F.max("sink_failures"), F.lit(0)).alias("failures")).withColumn("g", F.lit("")))
     if i.by is None:
         parts.insert(0, i.audit.sparkSession.createDataFrame([("",)], "g string"))
     # Each part has one row a group and columns of its own: laid over each other in one small shuffle.
