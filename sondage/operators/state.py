@@ -205,39 +205,70 @@ def write_chain(records: list[dict], key: bytes, previous: str = GENESIS) -> lis
     return out
 
 
-def links(trail: DataFrame, block: int = 100_000) -> DataFrame:
+CHAINED = "shard string, seq bigint, prev_digest string, record_hmac string, raw string"
+
+
+def write_chains(records: DataFrame, key: bytes) -> DataFrame:
+    """Signed chains, one for each shard, of (shard, seq, body), body a record as JSON text: rows of :data:`CHAINED`.
+
+    A chain is a sequence by nature; shards are written side by side, and a shard's records are streamed in order of seq.
+    Bodies that are no JSON objects are kept as text under ``body``. Null shards are one shard.
+    """
+
+    def step(previous: str | None, r: tuple) -> tuple:
+        try:
+            record = json.loads(r[2])
+        except (TypeError, ValueError):
+            record = None
+        record = record if isinstance(record, dict) else {"body": r[2]}
+        record["prev_digest"] = previous or GENESIS
+        mac = sign(record, key)
+        return mac, (record["prev_digest"], mac, json.dumps({**record, "record_hmac": mac}, sort_keys=True, separators=(",", ":")))
+
+    rows = records.select(F.coalesce(F.col("shard").cast("string"), F.lit("")).alias("shard"), F.col("seq").cast("bigint"), F.col("body").cast("string"))
+    placed = rows.repartition("shard").sortWithinPartitions("shard", "seq")
+    names, kinds = ["shard", "seq", "prev_digest", "record_hmac", "raw"], [pa.string(), pa.int64(), *[pa.string()] * 3]
+    return placed.mapInArrow(lambda it: _streamed(it, step, 2, names, kinds), CHAINED)
+
+
+def links(trail: DataFrame, block: int = 100_000, shard: str | None = None) -> DataFrame:
     """(seq, linked): whether a record names the signature of the one before it, or the origin if it is the first.
 
-    Rows are compared within blocks of consecutive ``seq`` and across their edges; no window runs over the trail.
+    Rows are compared within blocks of consecutive ``seq`` and across their edges; no window runs over the trail, but for one
+    row a block. ``shard`` names a column with a chain of its own for each value, which then comes out too.
     """
-    t = trail.select("seq", "prev_digest", "record_hmac", F.floor(F.col("seq") / F.lit(block)).alias("b"))
-    own = t.withColumn("before", F.lag("record_hmac", 1).over(W.partitionBy("b").orderBy("seq"))).withColumn("top", F.row_number().over(W.partitionBy("b").orderBy("seq")) == 1)
-    ends = t.groupBy("b").agg(F.max_by("record_hmac", "seq").alias("end"))
-    prior = ends.withColumn("prior", F.coalesce(F.lag("end").over(W.orderBy("b")), F.lit(GENESIS))).select("b", "prior")
+    by = ["shard"] if shard else []
+    t = trail.select(*([F.col(shard).alias("shard")] if shard else []), "seq", "prev_digest", "record_hmac", F.floor(F.col("seq") / F.lit(block)).alias("b"))
+    own = t.withColumn("before", F.lag("record_hmac", 1).over(W.partitionBy(*by, "b").orderBy("seq"))).withColumn("top", F.row_number().over(W.partitionBy(*by, "b").orderBy("seq")) == 1)
+    ends = t.groupBy(*by, "b").agg(F.max_by("record_hmac", "seq").alias("end"))
+    prior = ends.withColumn("prior", F.coalesce(F.lag("end").over(W.partitionBy(*by).orderBy("b")), F.lit(GENESIS))).select(*by, "b", "prior")
     before = F.when(F.col("top"), F.col("prior")).otherwise(F.col("before"))
-    return own.join(prior, "b").select("seq", F.col("prev_digest").eqNullSafe(before).alias("linked"))
+    return own.join(prior, [*by, "b"]).select(*by, "seq", F.col("prev_digest").eqNullSafe(before).alias("linked"))
 
 
-def verify_chain(trail: DataFrame, key: bytes) -> DataFrame:
+def verify_chain(trail: DataFrame, key: bytes, shard: str | None = None) -> DataFrame:
     """(seq, intact) of a trail with ``seq``, ``raw``, ``prev_digest`` and ``record_hmac``: signed rightly, and linked to the record before.
 
     Signatures are checked over the raw line, by as many tasks as there are partitions; a changed row breaks only
-    itself, a missing one the next.
+    itself, a missing one the next. With ``shard`` each of its values is a chain of its own, and comes out too.
     """
 
     def check(batches):
         for b in batches:
             good = []
-            for raw in b.column(1).to_pylist():
+            for raw in b.column(b.num_columns - 1).to_pylist():
                 try:
                     r = json.loads(raw)
                     good.append(isinstance(r, dict) and hmac.compare_digest(str(r.get("record_hmac")), sign(r, key)))
                 except (ValueError, TypeError):
                     good.append(False)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(good, pa.bool_())], names=["seq", "signed"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(good, pa.bool_())], names=[*b.schema.names[:-1], "signed"])
 
-    signed = trail.select("seq", "raw").mapInArrow(check, "seq bigint, signed boolean")
-    return links(trail).join(signed, "seq").select("seq", (F.col("linked") & F.col("signed")).alias("intact"))
+    by = [F.col(shard).cast("string").alias("shard")] if shard else []
+    keys = ["shard", "seq"] if shard else ["seq"]
+    trail = trail.withColumn(shard, F.col(shard).cast("string")) if shard else trail
+    signed = trail.select(*by, F.col("seq").cast("bigint"), "raw").mapInArrow(check, ("shard string, " if shard else "") + "seq bigint, signed boolean")
+    return links(trail, shard=shard).join(signed, keys).select(*keys, (F.col("linked") & F.col("signed")).alias("intact"))
 
 
 def chain_report(checked: DataFrame, shown: int = 20) -> dict:

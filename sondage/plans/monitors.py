@@ -1,6 +1,7 @@
 """Thirteen statistical monitors over records and events; each gives rows of alerts, most often none.
 
-Every monitor is one declarative plan. ``now`` is a literal (:func:`latest` finds the default). Days are counted from
+Every monitor is one declarative plan; those that count decisions by day and label share one cube of counts. ``now`` is a
+literal (:func:`observe` finds the default), as are the other moments that monitors compare. Days are counted from
 the first decision, not from midnight. Rows tie by their order columns (seq, event_no). Alerts hold what a
 reader may see in public; ``subject``, ``detail`` and ``evidence`` are restricted and go in :func:`public`.
 """
@@ -8,8 +9,8 @@ reader may see in public; ``subject``, ``detail`` and ``evidence`` are restricte
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime
-from functools import reduce
+from datetime import datetime, timedelta, timezone
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -19,6 +20,7 @@ from sondage.functions.quantiles import exact_quantile, order_statistics
 from sondage.functions.stats import crossing, dbl, ewma, poisson_tail, ratio, sound, trend
 from sondage.plans.kpi import _hits, _true, refused
 from sondage.plans.policy import review
+from sondage.session import cut_lineage
 from sondage.sources.audit import parse_time, with_key
 
 ALERT = (
@@ -35,13 +37,25 @@ STAGES = {
 SEVERITY = {"critical": 0, "warning": 1, "info": 2}
 
 
+_us = lambda c: F.unix_micros(c)
+_when = lambda us: F.timestamp_micros(us.cast("bigint"))
+
+
 @dataclass(frozen=True)
 class Observed:
-    """Records, events and the moment from which they are looked at."""
+    """Records, events and the moment from which they are looked at, with what one scan told about the records.
+
+    ``origin`` is the time of the first decision and ``budget_from`` that of the first with a budget, ``pivot`` the last policy
+    change (microseconds since 1970, null for none), ``failures`` the most sink failures of a record.
+    """
 
     audit: DataFrame
     events: DataFrame
     now: datetime
+    origin: int | None = None
+    budget_from: int | None = None
+    pivot: int | None = None
+    failures: int = 0
 
     @property
     def decisions(self) -> DataFrame:
@@ -55,19 +69,40 @@ class Observed:
         """``now`` as a literal in microseconds since 1970."""
         return F.lit(int(parse_time(self.now).timestamp() * 1_000_000 + 0.5))
 
-
-def latest(audit: DataFrame) -> datetime | None:
-    """The last timestamp of the records: the default for now. One value comes back."""
-    us = audit.agg(F.max(F.unix_micros("timestamp")).alias("t")).first()["t"]
-    if us is None:
-        return None
-    from datetime import timedelta, timezone
-
-    return datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(microseconds=us)
+    @property
+    def start(self) -> Column:
+        return F.lit(self.origin).cast("bigint")
+
+    @cached_property
+    def cube(self) -> DataFrame:
+        """Decisions counted by day since the origin, labels, and side of the moments that monitors compare; written once.
+
+        (day, language, topic, cohort, recent, changed, n, near, refused, learning, scaffold, unsimulated). Its size goes by
+        the days and label values, not by the decisions.
+        """
+        c = F.col
+        t = _us("timestamp")
+        label = lambda x: F.nullif(c(f"labels.{x}"), F.lit("")).alias(x)
+        learning = (c("capability.context") == "learning").eqNullSafe(F.lit(True))
+        policy = (c("status") == "APPROVED") & _true("governance_metadata.policy_like") & ~_true("governance_metadata.macro_policy")
+        day = F.floor((t - self.start) / F.lit(DAY_US)).cast("bigint").alias("day")
+        sides = [(t >= self.at - 2 * DAY_US).alias("recent"), (t >= F.lit(self.pivot).cast("bigint")).alias("changed")]
+        rows = self.decisions.groupBy(day, label("language"), label("topic"), label("cohort"), *sides)
+        return cut_lineage(rows.agg(
+            F.count("*").alias("n"), _hits(c("near_miss")).alias("near"), _hits(refused()).alias("refused"), _hits(learning).alias("learning"),
+            _hits(learning & c("capability.mode").isin("scaffold", "mixed")).alias("scaffold"), _hits(policy).alias("unsimulated"),
+        ))
 
 
 def observe(audit: DataFrame, events: DataFrame, now: datetime | None = None) -> Observed:
-    return Observed(with_key(audit), with_key(events), now or latest(audit) or datetime(1970, 1, 1))
+    """One scan of the records and one of the policy changes; a few numbers come back. ``now`` is the last record's time by default."""
+    audit, events = with_key(audit), with_key(events)
+    t, d = _us("timestamp"), F.col("kind") == "decision"
+    point = (F.col("energy.budget_used_kwh") + F.col("energy.budget_remaining_kwh")).isNotNull()
+    r = audit.agg(F.max(t).alias("last"), F.min(F.when(d, t)).alias("origin"), F.min(F.when(d & point, t)).alias("budget"), F.max("sink_failures").alias("failures")).first()
+    pivot = events.filter("type = 'policy_change'").agg(F.max(t).alias("p")).first()["p"]
+    last = datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(microseconds=r["last"] or 0)
+    return Observed(audit, events, now or last, r["origin"], r["budget"], pivot, r["failures"] or 0)
 
 
 def _alerts(df: DataFrame, agent: str, code: str | Column, severity: str | Column, title: str | Column, **cols: Column) -> DataFrame:
@@ -83,20 +118,13 @@ def _all(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-_us = lambda c: F.unix_micros(c)
-_when = lambda us: F.timestamp_micros(us.cast("bigint"))
-
-
-def daily_rates(o: Observed, rows: DataFrame, hit: Column, least: int = 1, by: list[str] | None = None) -> DataFrame:
-    """(<by>, day, n, rate, origin): shares per day since the first decision, days with fewer than ``least`` rows left out."""
-    first = F.broadcast(o.decisions.agg(F.min(_us("timestamp")).alias("origin")))
-    day = F.floor((_us("timestamp") - F.col("origin")) / F.lit(DAY_US))
-    return (
-        rows.crossJoin(first)
-        .groupBy(*(by or []), day.cast("bigint").alias("day"), "origin")
-        .agg(F.count("*").alias("n"), F.avg(F.when(hit, dbl(1.0)).otherwise(dbl(0.0))).alias("rate"))
-        .filter(F.col("n") >= least)
-    )
+def daily_rates(o: Observed, hits: str, of: str = "n", least: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
+    """(<by>, day, n, rate): shares per day since the first decision, from the cube; days with fewer than ``least`` rows, and nameless groups, left out."""
+    rows = o.cube
+    for c in by:
+        rows = rows.filter(F.col(c).isNotNull())
+    days = rows.groupBy(*by, "day").agg(F.sum(of).alias("n"), F.sum(hits).alias("hits")).filter(F.col("n") >= max(1, least))
+    return days.select(*by, "day", "n", ratio(F.col("hits"), F.col("n")).alias("rate"))
 
 
 def smoothed(points: DataFrame, by: list[str], x: str = "day", y: str = "rate", last: int = 3) -> DataFrame:
@@ -140,8 +168,7 @@ def budget_burn(o: Observed, alpha: float = 0.3) -> DataFrame:
     """(used, limit, burn): the latest point of the cumulative budget, and the smoothed use per day between days with points."""
     used, rest = F.col("energy.budget_used_kwh"), F.col("energy.budget_remaining_kwh")
     points = o.decisions.select(_us("timestamp").alias("t"), "seq", used.alias("used"), (used + rest).alias("limit")).filter("used IS NOT NULL AND limit IS NOT NULL")
-    start = F.broadcast(points.agg(F.min("t").alias("t0")))
-    days = points.crossJoin(start).groupBy(F.floor((F.col("t") - F.col("t0")) / F.lit(DAY_US)).alias("day")).agg(F.max(F.struct("t", "used", "limit", "seq")).alias("last"))
+    days = points.groupBy(F.floor((F.col("t") - F.lit(o.budget_from).cast("bigint")) / F.lit(DAY_US)).alias("day")).agg(F.max(F.struct("t", "used", "limit", "seq")).alias("last"))
     # One row a day from here on.
     ends = days.agg(F.array_sort(F.collect_list(F.struct("day", F.col("last.used").alias("used")))).alias("a"), F.max("last").alias("last"), F.count("*").alias("days"))
     steps = F.transform(
@@ -158,7 +185,7 @@ def misreporting(o: Observed) -> DataFrame:
     known = o.decisions.filter("key IS NOT NULL").groupBy("key").agg(F.max_by(F.struct("tenant"), "seq").alias("d"))
     own = F.when(F.col("d").isNotNull(), F.col("d.tenant")).otherwise(F.col("tenant"))
     ratios = meters.join(known, "key", "left").select(F.coalesce(F.nullif(own, F.lit("")), F.lit("default")).alias("tenant"), (F.col("act") / F.col("est")).alias("r"))
-    return exact_quantile(ratios, ["tenant"], "r", 0.5).withColumnRenamed("quantile", "median")
+    return exact_quantile(cut_lineage(ratios), ["tenant"], "r", 0.5).withColumnRenamed("quantile", "median")  # joined once, read by each pass
 
 
 def carbon_thirds(o: Observed) -> DataFrame:
@@ -214,19 +241,19 @@ def cusum(points: DataFrame, baseline: int = 7, slack: float = 0.02, x: str = "d
 def drift(o: Observed, amber: float = 0.15, slack: float = 0.02, alarm: float = 0.08, baseline: int = 7, horizon: float = 30) -> DataFrame:
     """CA-3: near misses creep up but are not yet past the amber level. One row a day goes through the window."""
     c = F.col
-    series = daily_rates(o, o.decisions, _true("near_miss"))
+    series = daily_rates(o, "near")
     s = cusum(series, baseline, slack)
     one = lambda d: F.broadcast(d)
     line = trend(s, [], "day", "rate")
     found = (
         s.agg(F.min(F.when(c("s") > alarm, c("day"))).alias("alarm_day"), F.max("base").alias("base"))
         .crossJoin(one(smoothed(series.withColumn("_", F.lit(1)), ["_"]).drop("_").withColumnRenamed("points", "total")))
-        .crossJoin(one(line)).crossJoin(one(series.agg(F.max("origin").alias("origin"))))
+        .crossJoin(one(line))
         .filter(c("alarm_day").isNotNull() & (c("latest") < amber) & (c("total") >= baseline + 2))
     )
     at = crossing(c("slope"), c("intercept"), amber, c("last_x"), True)
     at = F.when(at - c("last_x") <= horizon, at)
-    return _alerts(found, "CA-3", "NEAR_MISS_DRIFT", "warning", "Near misses creep up", value=c("latest"), level=dbl(amber), n=c("total"), predicted_at=_when(c("origin") + at * DAY_US),
+    return _alerts(found, "CA-3", "NEAR_MISS_DRIFT", "warning", "Near misses creep up", value=c("latest"), level=dbl(amber), n=c("total"), predicted_at=_when(o.start + at * DAY_US),
                    confidence=dbl(0.6), detail=F.format_string("alarm on day %d, baseline %.3f", "alarm_day", "base"))
 
 
@@ -234,12 +261,11 @@ def over_blocking(o: Observed, spike: float = 2.0, least: int = 20, limit: float
     """CA-4: protected items blocked, refusals that double in a language or topic, appeals often upheld."""
     c = F.col
     canary = o.of("canary_result").filter("passed < total")
-    dims = F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), c(f"labels.{d}").alias("member")) for d in ("language", "topic")]))
-    new = _us("timestamp") >= o.at - 2 * DAY_US
+    dims = F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), c(d).alias("member")) for d in ("language", "topic")]))
+    of = lambda x, new: F.sum(F.when(c("recent") if new else ~c("recent"), c(x)).otherwise(0))
     rates = (
-        o.decisions.select(dims.alias("m"), new.alias("new"), refused().alias("refused")).filter("m.member <> ''").groupBy("m.dim", "m.member")
-        .agg(_hits(~c("new")).alias("n_old"), _hits(c("new")).alias("n_new"), ratio(_hits(~c("new") & c("refused")), _hits(~c("new"))).alias("old"),
-             ratio(_hits(c("new") & c("refused")), _hits(c("new"))).alias("rate"))
+        o.cube.select(dims.alias("m"), "recent", "n", "refused").filter("m.member IS NOT NULL AND recent IS NOT NULL").groupBy("m.dim", "m.member")
+        .agg(of("n", False).alias("n_old"), of("n", True).alias("n_new"), ratio(of("refused", False), of("n", False)).alias("old"), ratio(of("refused", True), of("n", True)).alias("rate"))
         .filter((c("n_old") >= least) & (c("n_new") >= least)).filter(c("rate") >= F.greatest(spike * c("old"), dbl(0.05)))
     )
     worst = rates.groupBy("dim").agg(F.max(F.struct("rate", "old", "member")).alias("w"), F.count("*").alias("n"))
@@ -288,7 +314,7 @@ def clock_skew(o: Observed, tolerance_s: float = 5, block: int = 100_000) -> Dat
 def integrity(o: Observed, broken: int = 0) -> DataFrame:
     """CA-6: a broken chain (``broken`` links, from the chain's verification), sinks that fail, clocks that run back."""
     c = F.col
-    failed = o.audit.agg(F.max("sink_failures").alias("n")).filter("n > 0")
+    failed = o.audit.sparkSession.createDataFrame([(o.failures,)] if o.failures > 0 else [], "n bigint")
     skew = clock_skew(o).agg(F.count("*").alias("n"), F.max("back_s").alias("v")).filter("n > 0")
     chain = o.audit.sparkSession.createDataFrame([(broken,)] if broken else [], "n bigint")
     return _all(
@@ -318,7 +344,7 @@ def skipped_simulation(o: Observed, least: int = 3) -> DataFrame:
     g = "governance_metadata."
     rows = o.decisions.filter((F.col("status") == "APPROVED") & _true(g + "policy_like") & ~_true(g + "macro_policy"))
     first = rows.orderBy("seq").limit(10).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "audit_id"))), lambda x: x["audit_id"]).alias("evidence"))
-    n = rows.agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    n = o.cube.agg(F.sum("unsimulated").alias("n")).filter(F.col("n") >= least)
     return _alerts(n.crossJoin(F.broadcast(first)), "CA-8", "SIMULATION_SKIPPED", "warning", "Policy-like outputs were not simulated", n=F.col("n"), level=dbl(least), evidence=F.col("evidence"))
 
 
@@ -334,31 +360,26 @@ def incidents(o: Observed, deadline_d: int = 15, warn_d: int = 3) -> DataFrame:
 def atrophy(o: Observed, floor: float = 0.4, per_day: int = 5, horizon: float = 30) -> DataFrame:
     """CA-10: learners in a cohort get ever less scaffolding."""
     c = F.col
-    learning = o.decisions.filter("capability.context = 'learning'").withColumn("cohort", F.coalesce(F.nullif(c("labels.cohort"), F.lit("")), F.lit("all")))
-    series = daily_rates(o, learning, F.coalesce(c("capability.mode").isin("scaffold", "mixed"), F.lit(False)), per_day, ["cohort"])
-    line = trend(series, ["cohort"], "day", "rate").drop("points").join(smoothed(series, ["cohort"]), "cohort").join(series.groupBy("cohort").agg(F.max("origin").alias("origin")), "cohort")
+    days = o.cube.filter("learning > 0").groupBy(F.coalesce("cohort", F.lit("all")).alias("cohort"), "day").agg(F.sum("learning").alias("n"), F.sum("scaffold").alias("hits"))
+    series = days.filter(c("n") >= per_day).select("cohort", "day", "n", ratio(c("hits"), c("n")).alias("rate"))
+    line = trend(series, ["cohort"], "day", "rate").drop("points").join(smoothed(series, ["cohort"]), "cohort")
     at = crossing(c("slope"), c("intercept"), floor, c("last_x"), False)
     found = line.filter((c("points") >= 4) & (c("latest") >= floor)).withColumn("at", at).filter(c("at") - c("last_x") <= horizon)
-    return _alerts(found, "CA-10", "SCAFFOLDING_DECLINING", "warning", "Scaffolding declines", value=c("latest"), level=dbl(floor), n=c("points"), predicted_at=_when(c("origin") + c("at") * DAY_US),
+    return _alerts(found, "CA-10", "SCAFFOLDING_DECLINING", "warning", "Scaffolding declines", value=c("latest"), level=dbl(floor), n=c("points"), predicted_at=_when(o.start + c("at") * DAY_US),
                    confidence=dbl(0.6), subject=c("cohort"))
 
 
 def diversity(o: Observed, disparity: float = 1.25, drop: float = 0.5, least: int = 20) -> DataFrame:
     """CA-11: refusals differ between languages, or a language's traffic falls after the last policy change."""
     c = F.col
-    lang = F.nullif(c("labels.language"), F.lit(""))
-    changes = F.broadcast(o.of("policy_change").agg(F.max(_us("timestamp")).alias("pivot")))
-    start = F.broadcast(o.decisions.agg(F.min(_us("timestamp")).alias("start")))
-    t = _us("timestamp")
-    each = (
-        o.decisions.select(lang.alias("language"), refused().alias("refused"), "timestamp").filter("language IS NOT NULL").crossJoin(changes).groupBy("language", "pivot")
-        .agg(F.count("*").alias("n"), ratio(_hits(c("refused")), F.count("*")).alias("rate"), _hits(t < c("pivot")).alias("before"), _hits(t >= c("pivot")).alias("after"))
-    )
-    rated = each.filter(c("n") >= least).agg(F.max("rate").alias("hi"), F.min("rate").alias("lo"), F.count("*").alias("n"), F.max_by("language", "rate").alias("worst"))
+    side = lambda changed: F.sum(F.when(c("changed") if changed else ~c("changed"), c("n")).otherwise(0))
+    each = o.cube.filter("language IS NOT NULL").groupBy("language").agg(F.sum("n").alias("n"), ratio(F.sum("refused"), F.sum("n")).alias("rate"), side(False).alias("before"), side(True).alias("after"))
+    rated = each.filter(c("n") >= least).agg(F.max("rate").alias("hi"), F.min("rate").alias("lo"), F.count("*").alias("n"), F.max_by("language", F.struct("rate", "language")).alias("worst"))
     r = (c("hi") + 0.001) / (c("lo") + 0.001)
-    a = c("after") / F.greatest((o.at - c("pivot")) / 1e6, dbl(1.0))
-    b = c("before") / F.greatest((c("pivot") - c("start")) / 1e6, dbl(1.0))
-    gone = each.filter(c("before") >= least).crossJoin(start).withColumns({"ra": a, "rb": b}).filter(c("ra") < (1 - drop) * c("rb"))
+    pivot = F.lit(o.pivot).cast("bigint")
+    a = c("after") / F.greatest((o.at - pivot) / 1e6, dbl(1.0))
+    b = c("before") / F.greatest((pivot - o.start) / 1e6, dbl(1.0))
+    gone = each.filter((c("before") >= least) & pivot.isNotNull()).withColumns({"ra": a, "rb": b}).filter(c("ra") < (1 - drop) * c("rb"))
     return _all(
         _alerts(rated.filter((c("n") >= 2) & (r > disparity)), "CA-11", "REFUSAL_DISPARITY", "warning", "Refusals differ between languages", value=r, level=dbl(disparity), n=c("n"), subject=c("worst")),
         _alerts(gone, "CA-11", "SILENT_EXCLUSION", "warning", "A language's traffic fell after a policy change", value=c("ra") / c("rb"), level=dbl(1 - drop), n=c("before"), subject=c("language")),
@@ -377,6 +398,7 @@ def precursors(o: Observed, least: int = 3, window_d: int = 14) -> DataFrame:
     top = F.array_max(F.transform(codes, lambda x: F.element_at(stage, x)))
     subject = F.concat_ws("/", F.coalesce(F.nullif("tenant", F.lit("")), F.lit("default")), F.coalesce(F.nullif(c("labels.target_group"), F.lit("")), F.lit("unspecified")))
     s = o.decisions.filter(_us("timestamp") >= o.at - window_d * DAY_US).select(subject.alias("subject"), _us("timestamp").alias("t"), top.alias("stage")).filter("stage IS NOT NULL")
+    s = cut_lineage(s)  # the signals of two weeks, read twice
     kinds = sorted(set(STAGES.values()))
     ends = s.groupBy("subject").agg(
         F.count("*").alias("n"), F.min(F.struct("t", "stage"))["stage"].alias("first"),

@@ -72,9 +72,12 @@ def test_scorecards(spark):
 def test_snapshot(spark):
     a, e = traffic()
     doc = snapshot.build(audit(spark, a), events(spark, e), T0 + timedelta(days=40), delay_days=30, k=20)
-    shown = {x["kpi"]: x for x in doc["kpis"]}
-    assert shown["K-04"]["suppressed"] and shown["K-01"]["value"] is not None
-    assert not any(x["dim"] in snapshot.COMMUNITY_DIMS for x in doc["breakdowns"]) and all(x["value"] is None for x in doc["breakdowns"] if x["kpi"] == "K-17")
-    assert all(not set(x) & {"subject", "detail", "evidence"} for x in doc["alerts"])
+    shown = {x["id"]: x for x in doc["kpis"]}
+    cells = {(x["id"], c): v for x in doc["kpis"] for c, v in x["breakdown"].items()}
+    assert shown["K-04"]["n_band"] == "suppressed" and shown["K-04"]["value"] is None and shown["K-01"]["value"] is not None and len(shown["K-01"]["ci"]) == 2
+    assert not any(c.split(":")[0] in snapshot.COMMUNITY_DIMS for _, c in cells) and all(v["value"] is None for (k, _), v in cells.items() if k == "K-17")
+    assert all(not set(x) & {"subject", "detail", "evidence"} for x in doc["alerts"]) and set(snapshot.schema()["required"]) == set(doc)
+    shared = snapshot.build(audit(spark, a), events(spark, e), T0 + timedelta(days=40), k=5, policy={"governance": {"publication_consent": True}})
+    assert shared["community_breakdowns"] and any(c.startswith("language:") for x in shared["kpis"] for c in x["breakdown"]) and shared["delay_days"] == 7
     early = snapshot.build(audit(spark, a), events(spark, e), T0 + timedelta(days=1), delay_days=30, k=20)
-    assert {x["kpi"] for x in early["kpis"] if x["value"] is not None} <= {"K-12", "K-17"} and early["alerts"] == [] and early["models"] == []
+    assert {x["id"] for x in early["kpis"] if x["value"] is not None} <= {"K-12", "K-17"} and early["alerts"] == [] and early["models"] == []

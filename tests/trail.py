@@ -8,14 +8,20 @@ from sondage.sources.audit import from_records
 T0 = datetime(2026, 9, 1, tzinfo=timezone.utc)
 
 
-def rec(i, minutes=0.0, **kw):
-    base = dict(audit_id=f"a{i}", timestamp=T0 + timedelta(minutes=minutes), kind="decision", status="APPROVED", code="", jurisdiction_id="J", tenant="t", principal_digest="p", labels={}, governance_metadata={},
-                energy={}, confirmed_tier3=False, near_miss=False, sink_failures=0, infrastructure_error=False, completion_digest="c")
-    return base | kw
+# What a record of the test trail holds unless a test says otherwise.
+PLAIN = {
+    "kind": "decision", "status": "APPROVED", "code": "", "jurisdiction_id": "J", "tenant": "t", "principal_digest": "p", "completion_digest": "c", "labels": {}, "governance_metadata": {}, "energy": {},
+    "confirmed_tier3": False, "near_miss": False, "infrastructure_error": False, "sink_failures": 0,
+}
 
 
-def event(kind, hours=0.0, **kw):
-    return dict(type=kind, timestamp=T0 + timedelta(hours=hours)) | kw
+def rec(number, minute=0.0, **changes):
+    """The record with this number, at this minute of the trail, with what is changed in it."""
+    return {**PLAIN, "audit_id": f"a{number}", "timestamp": T0 + timedelta(minutes=minute), **changes}
+
+
+def event(kind, hour=0.0, **fields):
+    return {"type": kind, "timestamp": T0 + timedelta(hours=hour), **fields}
 
 
 def audit(spark, records):
@@ -27,7 +33,7 @@ def events(spark, rows):
 
 
 def traffic():
-    """60 decisions, one metered, and events of most types."""
+    """60 decisions, one metered, and events of most types. Fixed values, from which the expected indicators follow."""
     out = []
     for i in range(60):
         out.append(rec(
