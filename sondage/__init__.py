@@ -12,6 +12,7 @@ _NAMES = {
     "sondage.sources.audit": ("load_audit", "load_events", "from_records", "in_window", "parse_time"),
     "sondage.operators.decisions": ("Limits", "screen", "simulate", "judged", "evaluator", "external", "audit_rows", "energy_rows", "seed_stock"),
     "sondage.operators.rules": ("LEXICON", "STRUCTURAL", "Rule", "RuleTimeout", "looks_like_policy", "rules_for", "screened"),
+    "sondage.operators.calls": ("complete", "guarded"),
     "sondage.operators.judge": ("TEMPLATES", "Template", "ask", "questions"),
     "sondage.operators.state": ("Breaker", "budget", "throttle", "reconciled", "breaker", "verify_chain", "write_chain"),
     "sondage.operators.nested": ("child_table", "elements", "first_deliveries", "read_records"),

@@ -57,12 +57,16 @@ def diff(a: argparse.Namespace) -> int:
 
 
 def check(a: argparse.Namespace) -> int:
-    from sondage.operators.decisions import external, screen
+    from sondage.operators.decisions import audit_rows, external, screen
 
     cols = "audit_id string, prompt string, completion string, macro_policy boolean, context string"
     limits = P.limits(P.validated(P.read(a.policy))) if a.policy else P.limits({})
-    r = external(screen(_spark().createDataFrame([("cli", a.prompt, a.completion, a.macro_policy, a.context)], cols), limits)).first().asDict()
+    decided = screen(_spark().createDataFrame([("cli", a.prompt, a.completion, a.macro_policy, a.context)], cols), limits)
+    r = external(decided).first().asDict()
     print(json.dumps(r))
+    if a.audit:  # one line more of a trail
+        with open(a.audit, "a", encoding="utf-8") as f:
+            f.write(json.dumps(audit_rows(decided, audit_key(), limits).first().asDict(recursive=True)) + "\n")
     return 2 if r["status"] == "BLOCKED" else 0
 
 
@@ -126,7 +130,7 @@ def main(argv: list[str] | None = None) -> int:
     command("validate-policy", validate, (["policies"], {"nargs": "+"}))
     command("policy-diff", diff, (["old"], {}), (["new"], {}))
     command("schema", lambda _: print(json.dumps(P.schema(), indent=1)) or 0)
-    command("check", check, (["completion"], {}), (["--prompt"], {"default": ""}), (["--context"], {}), (["--policy"], {}), (["--macro-policy"], {"action": "store_true"}))
+    command("check", check, (["completion"], {}), (["--prompt"], {"default": ""}), (["--context"], {}), (["--policy"], {}), (["--audit"], {}), (["--macro-policy"], {"action": "store_true"}))
     command("kpi-export", export, *trail, (["--policy"], {}), (["--delay-days"], {"type": int, "default": 7}), (["--k"], {"type": int, "default": 20}), (["--consent"], {"action": "store_true"}), (["--demonstration"], {"action": "store_true"}))
     command("monitor", monitor, *trail)
     command("dashboard", dashboard, (["--snapshot"], needed), (["--out"], needed))

@@ -343,7 +343,9 @@ def size_guards(spark: SparkSession, folder: str) -> DataFrame:
     return d.groupBy("code").agg(F.count("*").alias("n"), F.round(F.sum("kwh"), 9).alias("kwh"))
 
 
-PLAIN_RULES = {"RANKING": "counts? for [0-9]+ percent|worth [0-9]+ points less", "PERMITS": "permits depend on the loyalty", "CURFEW": "set a curfew", "PROPOSAL": "(let us|we should|i propose|the plan is)"}
+#: The lexicon's patterns by code and number: they are in the dialect of all engines.
+PLAIN_RULES = {f"{r.code}.{i}": r.pattern for i, r in enumerate(rules.LEXICON)}
+TIER3_RULES = {f"{r.code}.{i}": r.pattern for i, r in enumerate(rules.LEXICON) if r.tier == 3}
 
 
 def rule_hits(spark: SparkSession, folder: str) -> DataFrame:
@@ -353,7 +355,7 @@ def rule_hits(spark: SparkSession, folder: str) -> DataFrame:
 
 def corpus_confusion(spark: SparkSession, folder: str) -> DataFrame:
     both = table(spark, folder, "harmful").select(F.lit("harmful").alias("label"), "text").unionByName(table(spark, folder, "protected_speech").select(F.lit("benign").alias("label"), "text"))
-    hit = F.when(F.size(rules.mentioned(F.col("text"), PLAIN_RULES)) > 0, "BLOCKED").otherwise("APPROVED")
+    hit = F.when(F.size(rules.mentioned(F.col("text"), TIER3_RULES)) > 0, "BLOCKED").otherwise("APPROVED")
     return rules.confusion(both, "label", hit)
 
 
@@ -401,9 +403,9 @@ def _sql_chain_heads() -> str:
 def _sql_state() -> dict[str, str]:
     v = views_sql()
     t1 = "CASE WHEN est > 0.02::DOUBLE THEN 'COMPUTE_LIMIT' WHEN coalesce(co2, 250) > 300 THEN 'CARBON_INTENSITY_LIMIT' END"
-    hit = lambda p: f"regexp_matches(text, '{p}', 'i')"
+    hit = lambda p: f"""regexp_matches(text, '{p.replace("'", "''")}', 'i')"""
     plain = " UNION ALL ".join(f"SELECT category, '{c}' AS code, text FROM harmful WHERE {hit(p)}" for c, p in PLAIN_RULES.items())
-    anyhit = " OR ".join(hit(p) for p in PLAIN_RULES.values())
+    anyhit = " OR ".join(hit(p) for p in TIER3_RULES.values())
     return {
         "tier1_limits": v + f"""SELECT seq, coalesce({t1}, '') AS code, round(est / 0.02::DOUBLE, 9) AS energy,
             coalesce(isnan(energy.estimated_kwh) OR isinf(energy.estimated_kwh) OR energy.estimated_kwh < 0, FALSE) AS invalid FROM d""",

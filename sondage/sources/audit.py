@@ -51,6 +51,17 @@ def items(spark: SparkSession, path: str, field: str, schema: str) -> DataFrame:
     return doc.select(F.explode(field).alias("e")).select("e.*")
 
 
+def crosswalk(spark: SparkSession, path: str, article: str) -> DataFrame:
+    """Crosswalk documents as a table: (instrument, article, external_provision, relationship, notes, guardrail_component, verify).
+
+    ``article`` names the entries' field for the article that is mapped; ``path`` may name several documents.
+    """
+    entry = f"`{article}` string, external_provision string, relationship string, notes string, guardrail_component string, verify boolean"
+    doc = spark.read.option("multiLine", True).schema(f"external_instrument string, entries array<struct<{entry.replace(' string', ': string').replace(' boolean', ': boolean')}>>").json(path)
+    rows = doc.select(F.col("external_instrument").alias("instrument"), F.explode("entries").alias("e"))
+    return rows.select("instrument", F.col(f"e.`{article}`").alias("article"), *[f"e.{c}" for c in ("external_provision", "relationship", "notes", "guardrail_component", "verify")])
+
+
 def as_dicts(records: Iterable[Any]) -> list[dict]:
     """Records as dictionaries; dataclasses and mappings are taken, anything else is a TypeError."""
     out = []
