@@ -45,13 +45,14 @@ BOUND, LOOSE, VARIED, TURNING = 0.13, 0.1, 0.8, 0.7
 _SOLID = "฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿"
 # Vowel signs and other marks belong to the words of Indic, Arabic and Hebrew script; the Indic full stop does not.
 _WORD = re.compile(rf"[{_SOLID}]|(?:[^\W_{_SOLID}]|[̀-֑ͯ-ׇً-ٰٟ]|(?![।॥])[ऀ-෿])+")
+_PLAIN_WORD = re.compile(r"[a-z0-9]+")
 _LINK = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]|]+", re.I)
 _ANCHOR = re.compile(r"<a\s[^<>]*>.*?</a>|\[[^\[\]\n]*\]\([^()\s]*\)", re.I | re.S)
 _MARKUP = re.compile(r"</?[a-z][^<>]*>", re.I)
 _TAG = re.compile(r"#[^\W_][\w'’-]*")
 _END = re.compile(r"[.!?…।॥؟۔።]+[\"'”’»)\]*_]*(?=$|\s|[,;}\]]|\\)|[。！？!?｡]+[」』”’）)]*(?=[^\x00-˿])")
 _QUOTE = re.compile(r"^(?:\s*>)+\s?", re.M)
-_SEPARATOR = re.compile(r"\s[|•·/–—;»-]\s|[,;|•·]\s?|\n")
+_DASH = re.compile(r"\s[/–—»-]\s")
 _CUT = re.compile(
     r"\n(?=\s*\n)|\n(?=\s*(?:[#>»*•·–—|-]|\d+[.)]\s|<a\s|\[|https?:|www\.))|(?<=\|)[^\S\n]*\n|\n(?=[^\n]*\|)|\n(?=\s*[\"{}\[\]])"
 )
@@ -151,13 +152,14 @@ def repeats(tokens: list[str], least: int = STRETCH) -> bytearray:
 def segments(text: str) -> Iterator[tuple[int, int, bool]]:
     """(start, end, ends like a sentence) of the pieces of a text: lines that start like rows, and sentences across soft line ends."""
     at, end = 0, len(text)
+    find = _WORD.findall
     for stop in [*(m.end() for m in _CUT.finditer(text)), end]:
         if stop <= at:
             continue
         pos = at
         for m in _END.finditer(text, at, stop):
             line = text.rfind("\n", pos, m.start()) + 1
-            if line > pos and not text[line : line + 1].islower() and text[line : line + 1].isalpha() and len(_WORD.findall(text, line, m.end())) >= CLAUSE_LEAST:
+            if line > pos and not text[line : line + 1].islower() and text[line : line + 1].isalpha() and len(find(text, line, m.end())) >= CLAUSE_LEAST:
                 yield pos, line, False  # a sentence that starts on a line of its own
                 pos = line
             yield pos, m.end(), True
@@ -169,9 +171,24 @@ def segments(text: str) -> Iterator[tuple[int, int, bool]]:
 
 def _shown(text: str) -> int:
     """The number of characters other than white space."""
+    if text.isascii():
+        return len(text) - sum(map(text.count, " \n\t\r\x0b\x0c\x1c\x1d\x1e\x1f"))
     return sum(map(len, text.split()))
 
 
+def _finder(text: str):  # noqa: ANN202
+    """What finds the words of a text in small letters."""
+    return (_PLAIN_WORD if text.isascii() else _WORD).findall
+
+
+def _separators(text: str) -> int:
+    """Commas, bars, bullets, spaced dashes and line ends; a line end after one of them counts with it."""
+    n = sum(map(text.count, ",;|•·"))
+    if "\n" in text:
+        n += text.count("\n") - (sum(map(text.count, (",\n", ";\n", "|\n"))) if n else 0)
+    return n + len(_DASH.findall(text)) if any(x in text for x in "/–—»-") else n
+
+
 class _Read(NamedTuple):
     """A page's text without quote marks and entities, its segments with their words counted up, and the words with their numbers."""
 
@@ -193,7 +210,7 @@ def _read(text: str | None) -> _Read | None:
         text = _QUOTE.sub("", text)
     words: list[str] = []
     parts = []
-    find = _WORD.findall
+    find = _finder(text)
     for a, b, ends in segments(text):  # no segment begins or ends within a word
         words += find(text[a:b].lower())
         parts.append((a, b, ends, len(words)))
@@ -213,6 +230,7 @@ def _sums(x: np.ndarray) -> list[int]:
 def _judge(r: _Read, again: np.ndarray) -> Page:
     """The measures of a page whose repeated words are known."""
     text, words = r.text, r.words
+    find = _finder(text)
     n = len(words)
     count = np.bincount(r.ids, minlength=1)
     often = max(2, n // OFTEN)
@@ -252,10 +270,10 @@ def _judge(r: _Read, again: np.ndarray) -> Page:
         linked = "](" in piece or "<a" in piece or "<A" in piece
         bare = _MARKUP.sub(" ", _ANCHOR.sub(" ", piece)) if linked else piece
         rest = _LINK.sub(" ", bare) if "://" in bare or "www." in bare.lower() else bare
-        own = _WORD.findall(rest.lower()) if rest is not piece else words[first:k]
+        own = find(rest.lower()) if rest is not piece else words[first:k]
         held = sum(w in known for w in own) if rest is not piece else bounds[k] - bounds[first]
         under = (unders[k] - unders[first]) / (sizes[k] - sizes[first])
-        rows = len(_SEPARATOR.findall(rest))
+        rows = _separators(rest)
         if _is_clause(own, known, held, under, ends, rows, rest):
             clause += chars
             stuffing += settle()
