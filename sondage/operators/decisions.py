@@ -246,7 +246,6 @@ ASKED = {
     "affects_community": "boolean", "community_consent": "boolean", "context": "string", "principal": "string", "tenant": "string", "unscreenable": "array<string>", "channels": "array<string>",
     "admission": "string", "budget_admitted": "boolean", "model_error": "string",
 }
-_PRE = ("input", "breaker", "figures", "tier1.resources", "tier3.prompt", "tier2.consent", "budget", "model")
 
 
 def screen(requests: DataFrame, p: Limits = Limits(), extra: Sequence[Column] = (), verdicts: DataFrame | None = None, extra_pre: Sequence[Column] = ()) -> DataFrame:
@@ -313,7 +312,7 @@ def screen(requests: DataFrame, p: Limits = Limits(), extra: Sequence[Column] =
     d = d.withColumn("confirmed_tier3", confirmed_tier3(F.col("decision"), F.element_at("decision.evaluators", -1)["infrastructure_error"]))
     own = F.element_at("decision.evaluators", -1)["evaluator"]
     # Blocks before the model is called, floors and simulations never count towards the breaker.
-    d = d.withColumn("breaker_violation", F.col("confirmed_tier3") & ~own.isin(*_PRE, "seed_stock.floor", "simulation"))
+    d = d.withColumn("breaker_violation", F.col("confirmed_tier3") & F.array_contains(ran, "output") & ~own.isin("seed_stock.floor", "simulation"))
     return d.drop("_c", "_p", "_hits", "judge", "judge_near", "scores")
 
 
@@ -330,7 +329,7 @@ def audit_rows(decided: DataFrame, key: bytes, p: Limits = Limits(), include_tex
     text = lambda x: c(x) if include_text and x in decided.columns else F.lit(None).cast("string")
     own = lambda x, kind, or_: F.coalesce(c(x).cast(kind), or_) if x in decided.columns else or_.cast(kind)
     failed = c("decision.code") == "MODEL_ERROR"
-    answered = F.when(~F.coalesce(F.element_at("decision.evaluators", -1)["evaluator"].isin(*_PRE) & (c("decision.status") == "BLOCKED") | failed, F.lit(False)), dig("completion"))
+    answered = F.when(F.exists("decision.evaluators", lambda e: e["evaluator"] == "output"), dig("completion"))  # else no model was asked, or it failed
     kind = decided.schema["labels"].dataType if "labels" in decided.columns else None
     labels = labelled(c("labels"), kind.fieldNames()) if kind is not None else F.create_map().cast("map<string,string>")
     yes = lambda x: F.coalesce(c(x), F.lit(False)) if x in decided.columns else F.lit(False)
