@@ -20,6 +20,8 @@ from sondage.session import cut_lineage
 
 #: Cells of the longest pattern.
 WIDE = 10_000
+#: Wide identifiers that may be broadcast; more of them are joined by a shuffle.
+BROADCAST = 100_000
 
 
 #: Between the values of a group's key, for a null among them, and before either or itself within a value.
@@ -41,14 +43,16 @@ def _decoded(c: Column) -> Column:
     return out
 
 
-def partial(df: DataFrame, identifier: Column, dims: dict[str, Column]) -> DataFrame:
-    """The partial result of a slice of data: distinct (identifier, cell), cell a struct of ``dims`` as text.
+def partial(df: DataFrame, identifier: Column, dims: dict[str, Column], *, compact: bool = False) -> DataFrame:
+    """The partial result of a slice of data: (identifier, cell), cell a struct of ``dims`` as text.
 
     Rows without an identifier count nowhere; null is an ordinary value of a dimension. Clashing names are no
-    matter, since only ``identifier`` and ``dims`` are read. An empty slice gives an empty partial.
+    matter, since only ``identifier`` and ``dims`` are read. An empty slice gives an empty partial. Repeats make no difference
+    to what follows; ``compact`` takes them out, for a partial that is kept.
     """
     cell = F.struct(*[_coded(c).alias(n) for n, c in dims.items()])
-    return df.select(identifier.alias("identifier"), cell.alias("cell")).filter("identifier IS NOT NULL").distinct()
+    out = df.select(identifier.alias("identifier"), cell.alias("cell")).filter("identifier IS NOT NULL")
+    return out.distinct() if compact else out
 
 
 def merge(*partials: DataFrame) -> DataFrame:
@@ -65,13 +69,17 @@ def patterns(cells: DataFrame, *, wide: int = WIDE) -> DataFrame:
     Identifiers in more than ``wide`` cells come as patterns of one cell with their name in ``wide``, null for all
     others; :func:`distinct_counts` puts them together again. How many identifiers are wide has no bound.
     """
-    counts = cells.groupBy("identifier").agg(F.count("*").alias("n")).filter(F.col("n") > wide).select("identifier")
-    many = cut_lineage(counts)  # most often none
-    narrow = cells.join(many, "identifier", "left_anti")
+    # Repeats count too, so at least all that are in so many cells; most often none.
+    many = cut_lineage(cells.groupBy("identifier").agg(F.count("*").alias("n")).filter(F.col("n") > wide).select("identifier"))
+    found = many.count()
+    if 0 < found <= BROADCAST:
+        many = F.broadcast(many)
+    narrow = cells.join(many, "identifier", "left_anti") if found else cells
     sets = narrow.groupBy("identifier").agg(F.array_sort(F.collect_set("cell")).alias("pattern"))
     out = sets.groupBy("pattern").agg(F.count("*").alias("identifiers")).withColumn("wide", F.lit(None).cast("string"))
-    rows = cells.join(many, "identifier", "left_semi")
-    out = out.unionByName(rows.select(F.array("cell").alias("pattern"), F.lit(1).cast("bigint").alias("identifiers"), F.col("identifier").cast("string").alias("wide")))
+    if found:
+        rows = cells.join(many, "identifier", "left_semi").distinct()
+        out = out.unionByName(rows.select(F.array("cell").alias("pattern"), F.lit(1).cast("bigint").alias("identifiers"), F.col("identifier").cast("string").alias("wide")))
     return cut_lineage(out)
 
 
